@@ -54,17 +54,14 @@ def diff(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequenc
     cols = [*keys, *fields]
     left, right = left.select(*cols), right.select(*cols)
     rest = residue(left, right, cols, keys if unique_keys else None)
-    fields_struct = F.struct(*[F.col(f) for f in fields])
-
-    def side(sign: int, name: str) -> DataFrame:
-        own = rest.filter(F.col("_n") * sign > 0)
-        aggs = [F.sum(F.abs("_n")).alias(f"_n_{name}"), F.max(fields_struct).alias(f"_{name}")]
-        return own.groupBy(*[F.col(k).alias(f"_{name}_{i}") for i, k in enumerate(keys)]).agg(*aggs)
-
-    a, b = side(1, "l"), side(-1, "r")
-    on = [F.col(f"_l_{i}").eqNullSafe(F.col(f"_r_{i}")) for i in range(len(keys))]
-    joined = a.join(b, on, "full_outer")
-    n_left, n_right = F.coalesce("_n_l", F.lit(0)), F.coalesce("_n_r", F.lit(0))
+    # The full join of the two residues by key: both have the same layout, so one grouping puts them side by side.
+    here, there = F.col("_n") > 0, F.col("_n") < 0
+    row = F.struct(*[F.col(f) for f in fields])
+    joined = rest.groupBy(*keys).agg(
+        F.sum(F.when(here, F.col("_n")).otherwise(0)).alias("n_left"), F.sum(F.when(there, -F.col("_n")).otherwise(0)).alias("n_right"),
+        F.max(F.when(here, row)).alias("_l"), F.max(F.when(there, row)).alias("_r"),
+    )
+    n_left, n_right = F.col("n_left"), F.col("n_right")
 
     def report(name: str, lv: Column, rv: Column) -> Column:
         return F.struct(F.lit(name).alias("field"), lv.cast("string").alias("left_value"), rv.cast("string").alias("right_value"))
@@ -79,8 +76,6 @@ def diff(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequenc
         .when((n_left > 1) | (n_right > 1), F.array(report(REPEATED, nothing, nothing)))
         .otherwise(F.array_compact(F.array(*per_field)))
     )
-    from_left = F.col("_n_l").isNotNull()
-    return joined.select(
-        *[F.when(from_left, F.col(f"_l_{i}")).otherwise(F.col(f"_r_{i}")).alias(k) for i, k in enumerate(keys)],
-        n_left.alias("_nl"), n_right.alias("_nr"), F.explode(found).alias("_d"),
-    ).select(*keys, "_d.field", "_d.left_value", "_d.right_value", F.col("_nl").alias("n_left"), F.col("_nr").alias("n_right"))
+    return joined.select(*keys, "n_left", "n_right", F.explode(found).alias("_d")).select(
+        *keys, "_d.field", "_d.left_value", "_d.right_value", "n_left", "n_right"
+    )
