@@ -65,7 +65,7 @@ def _one_hot(values: Sequence) -> np.ndarray:
 
 
 def _flights(df: DataFrame, cell: str, margins: dict[int, tuple], seed: int, level: int, last: bool) -> DataFrame:
-    """Flight in every task of `df` (columns: any, `cell` INT, pi DOUBLE). Gives back the records that are chosen (pi 1) or open,
+    """Flight in every task of `df` (columns: the record's, `cell` INT, pi DOUBLE). Gives back the records that are chosen (pi 1) or open,
     with the task's number in _task."""
 
     def run(parts):
@@ -129,9 +129,11 @@ def cube_sample(df: DataFrame, cell: str, pi: str, margins: dict[int, tuple], se
     are never drawn. Each level is written to the shared folder before the next, so a random
     draw is never made twice. An empty table gives no rows.
     """
-    open_ = df.filter(F.col(cell).isNotNull() & F.col(pi).isNotNull() & ~F.isnan(pi)).withColumn("pi", F.col(pi).cast("double"))
-    if pi != "pi":
-        open_ = open_.drop(pi)
+    names = [c for c in df.columns if c != pi]
+    inner = [f"c{i}" for i in range(len(names))]  # whatever the columns are called, they don't clash with pi and _task
+    cell = inner[names.index(cell)]
+    open_ = df.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, inner, strict=True)], F.col(pi).cast("double").alias("pi"))
+    open_ = open_.filter(F.col(cell).isNotNull() & F.col("pi").isNotNull() & ~F.isnan("pi"))
     columns, chosen, level, last = open_.columns, [], 0, False
     while True:
         done = cut(_flights(open_, cell, margins, seed, level, last), "flight")
@@ -147,7 +149,7 @@ def cube_sample(df: DataFrame, cell: str, pi: str, margins: dict[int, tuple], se
     out = chosen[0]
     for c in chosen[1:]:
         out = out.unionAll(c)
-    return out.drop("pi")
+    return out.select(*[F.col(c).alias(n) for n, c in zip(names, inner, strict=True)])
 
 
 def quota_sample(records: DataFrame, by: Sequence[str], quotas: DataFrame, share: str, least: str, size: float, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -169,10 +171,12 @@ def quota_sample(records: DataFrame, by: Sequence[str], quotas: DataFrame, share
     place = [(*k, i, min(1.0, wanted[k] / counts[k]) if counts.get(k) else 0.0, wanted[k], counts.get(k, 0)) for i, k in enumerate(keys)]
     types = dict(quotas.dtypes)
     cells = spark.createDataFrame(place, ", ".join([*[f"`{b}` {types[b]}" for b in by], "_cell int, _pi double, _wanted double, _available bigint"]))
-    joined = records.join(F.broadcast(cells.select(*by, "_cell", "_pi")), list(by), "inner").filter("_pi > 0")
-    drawn = cube_sample(joined, "_cell", "_pi", dict(enumerate(keys)), seed)
-    sample = drawn.select(*records.columns)
-    got = drawn.groupBy("_cell").agg(F.count(F.lit(1)).alias("_got"))
+    numbered = cells.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_cell").alias("_cube_cell"), F.col("_pi").alias("_cube_pi"))
+    on = [F.col(f"`{b}`") == F.col(f"_by{i}") for i, b in enumerate(by)]
+    joined = records.join(F.broadcast(numbered), on).filter("_cube_pi > 0").drop(*[f"_by{i}" for i in range(len(by))])
+    drawn = cube_sample(joined, "_cube_cell", "_cube_pi", dict(enumerate(keys)), seed)
+    sample = drawn.drop("_cube_cell")
+    got = drawn.withColumnRenamed("_cube_cell", "_cell").groupBy("_cell").agg(F.count(F.lit(1)).alias("_got"))
     drawn_n = F.coalesce("_got", F.lit(0)).cast("bigint")
     report = cells.join(got, "_cell", "left").select(
         *by, F.col("_available").alias("available"), F.col("_wanted").alias("wanted"), drawn_n.alias("drawn"),

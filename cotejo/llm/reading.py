@@ -43,8 +43,8 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+(?=[\"«“'(¿¡]*[A-ZÀ-Ö
 def sentences(text: str | None) -> list[str]:
     """The sentences of a document's prose.
 
-    Tables, headings, references and quoted titles are left out. A line break ends a sentence unless the line is full: the
-    next line's first word would not have fitted into the width of the widest line.
+    Tables, headings, references and quoted titles are left out. A line break ends a sentence, but not in a text of which lines go on
+    in lower case: there the line must also be full, that is, the next line's first word would not have fitted into the width of the widest line.
     """
     if not text:
         return []
@@ -66,6 +66,7 @@ def sentences(text: str | None) -> list[str]:
             lines.append("")
         else:
             lines.append(_BULLET.sub("", line.rstrip()))
+    wrapped = any(a and b and b.lstrip()[:1].islower() for a, b in zip(lines, lines[1:]))
     width = max(map(len, lines), default=0)
     parts, held = [], ""
     for line in lines:
@@ -75,7 +76,7 @@ def sentences(text: str | None) -> list[str]:
                 parts.append(held)
             held = last = ""
             continue
-        if held and not (_END.search(last) and len(last) < width - 20) and len(last) + 1 + len(stripped.split(None, 1)[0]) > width:
+        if held and wrapped and not (_END.search(last) and len(last) < width - 20) and len(last) + 1 + len(stripped.split(None, 1)[0]) > width:
             held = f"{held[:-1]}{stripped}" if held[-1] in "-‐" and held[-2:-1].isalpha() and stripped[0].islower() else f"{held} {stripped}"
         else:
             if held:

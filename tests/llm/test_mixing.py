@@ -11,7 +11,7 @@ def test_tokens():
     assert M.count_tokens(None) == M.count_tokens("") == 0
     one = "la casa verde " * 3
     assert M.count_tokens(one) > 0
-    assert abs(M.count_tokens(one * 9000) - 9000 * M.count_tokens(one)) < 20
+    assert abs(M.count_tokens(one * 9000) - len(M._encoder(M.VOCABULARY).encode_ordinary(one * 9000))) < 5
     assert M.count_tokens("a" * 300_000) > 0
 
 
