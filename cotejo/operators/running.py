@@ -27,7 +27,7 @@ def running_totals(df: DataFrame, bucket: Column, order: Sequence[str], values:
 def gaps(df: DataFrame, bucket: Column, at: str, order: Sequence[str]) -> DataFrame:
     """`df` with gap, the seconds since the row before in `order`, null for the first. bucket must never fall along the order."""
     v = df.withColumn("_bucket", bucket)
-    seconds = F.unix_micros(F.col(at)) / 1e6
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
     within = Window.partitionBy("_bucket").orderBy(*order)
     last = v.groupBy("_bucket").agg(F.max(seconds).alias("_last"))
     before = last.select(F.col("_bucket").alias("_of"), F.lag("_last").over(Window.orderBy("_bucket")).alias("_prev"))

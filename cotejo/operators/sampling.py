@@ -76,13 +76,15 @@ def greedy(df: DataFrame, key: str, weight: str, band: str, plan: Sequence[tuple
         got = list(parts)
         pdf = pd.concat(got, ignore_index=True) if got else pd.DataFrame(columns=[key, "_w", "_b", *phenomena])
         pdf = pdf.sort_values(["_w", key], kind="stable")
+        for p in phenomena:
+            pdf[p] = pdf[p].map(lambda v: v is True or v == 1).astype(bool)
         open_, taken, out = list(phenomena), set(), []
         for name, places in plan:
             inside = pdf[pdf["_b"] == name]
             for _ in range(places):
                 free = inside[~inside[key].isin(taken)]
-                reason = next((p for p in open_ if free[p].fillna(False).astype(bool).any()), None)
-                pool = free if reason is None else free[free[reason].fillna(False).astype(bool)]
+                reason = next((p for p in open_ if free[p].any()), None)
+                pool = free if reason is None else free[free[reason]]
                 if pool.empty:
                     continue
                 if reason is not None:

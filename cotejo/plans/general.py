@@ -49,22 +49,22 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
-CENSUS = [("lineas", "count", None), ("contadas", "count", "tablas"), ("tablas", "sum", "tablas"), ("tablas_min", "min", "tablas"), ("tablas_max", "max", "tablas"), ("ultimo", "max", "recibido_en")]
+CENSUS = [("lineas", "count", None), ("contadas", "count", "tablas"), ("tablas", "sum", "tablas"), ("tablas_min", "min", "tablas"), ("tablas_max", "max", "tablas"), ("ultimo_us", "max", "recibido_us")]
 
 
 def p5_census_by_bulletin(spark: SparkSession, root: str) -> DataFrame:
-    censo = table(spark, root, "censo_tablas")
+    censo = table(spark, root, "censo_tablas").withColumn("recibido_us", F.unix_micros("recibido_en"))
     return salted_aggregate(censo, ["external_id"], CENSUS, heavy_keys(censo, "external_id", HEAVY))
 
 
 def p5_census_by_count(spark: SparkSession, root: str) -> DataFrame:
-    censo = table(spark, root, "censo_tablas")
-    return salted_aggregate(censo, ["tablas"], [("lineas", "count", None), ("primero", "min", "contado_en"), ("ultimo", "max", "recibido_en")], heavy_keys(censo, "tablas", HEAVY))
+    censo = table(spark, root, "censo_tablas").withColumns({"contado_us": F.unix_micros("contado_en"), "recibido_us": F.unix_micros("recibido_en")})
+    return salted_aggregate(censo, ["tablas"], [("lineas", "count", None), ("primero_us", "min", "contado_us"), ("ultimo_us", "max", "recibido_us")], heavy_keys(censo, "tablas", HEAVY))
 
 
 def p5_selection_by_count(spark: SparkSession, root: str) -> DataFrame:
-    s = table(spark, root, "seleccion")
-    aggs = [("filas", "count", None), ("paginas", "sum", "n_pages"), ("con_paginas", "count", "n_pages"), ("ultimo", "max", "elegido_en")]
+    s = table(spark, root, "seleccion").withColumn("elegido_us", F.unix_micros("elegido_en"))
+    aggs = [("filas", "count", None), ("paginas", "sum", "n_pages"), ("con_paginas", "count", "n_pages"), ("ultimo_us", "max", "elegido_us")]
     return salted_aggregate(s, ["n_tablas_del_documento"], aggs, heavy_keys(s, "n_tablas_del_documento", HEAVY))
 
 
@@ -96,7 +96,7 @@ SQL = {
     "p3_values": _LAST + "SELECT * FROM d",
     "p3_by_field": _LAST + "SELECT campo, count(*) AS n, count(DISTINCT (external_id, tabla)) AS n_tablas FROM d GROUP BY campo",
     "p5_found": " UNION ALL ".join(_heavy_sql(*x) for x in (("censo_tablas", "external_id"), ("censo_tablas", "tablas"), ("seleccion", "n_tablas_del_documento"))),
-    "p5_census_by_bulletin": "SELECT external_id, count(*) AS lineas, count(tablas) AS contadas, sum(tablas)::BIGINT AS tablas, min(tablas) AS tablas_min, max(tablas) AS tablas_max, max(recibido_en) AS ultimo FROM censo_tablas GROUP BY external_id",
-    "p5_census_by_count": "SELECT tablas, count(*) AS lineas, min(contado_en) AS primero, max(recibido_en) AS ultimo FROM censo_tablas GROUP BY tablas",
-    "p5_selection_by_count": "SELECT n_tablas_del_documento, count(*) AS filas, sum(n_pages)::BIGINT AS paginas, count(n_pages) AS con_paginas, max(elegido_en) AS ultimo FROM seleccion GROUP BY n_tablas_del_documento",
+    "p5_census_by_bulletin": "SELECT external_id, count(*) AS lineas, count(tablas) AS contadas, sum(tablas)::BIGINT AS tablas, min(tablas) AS tablas_min, max(tablas) AS tablas_max, epoch_us(max(recibido_en)) AS ultimo_us FROM censo_tablas GROUP BY external_id",
+    "p5_census_by_count": "SELECT tablas, count(*) AS lineas, epoch_us(min(contado_en)) AS primero_us, epoch_us(max(recibido_en)) AS ultimo_us FROM censo_tablas GROUP BY tablas",
+    "p5_selection_by_count": "SELECT n_tablas_del_documento, count(*) AS filas, sum(n_pages)::BIGINT AS paginas, count(n_pages) AS con_paginas, epoch_us(max(elegido_en)) AS ultimo_us FROM seleccion GROUP BY n_tablas_del_documento",
 }
