@@ -13,11 +13,12 @@ Z = 1.96
 
 def wilson(hits: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     """Ends of Wilson's interval, cut to [0, 1]; (0, 0) without trials."""
-    p = hits / F.nullif(n, F.lit(0))
-    d = 1 + z * z / F.nullif(n, F.lit(0))
-    mid = (p + z * z / (2 * F.nullif(n, F.lit(0)))) / d
-    half = z * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)) + z * z / (4 * F.nullif(n, F.lit(0)) * n)) / d
-    return F.coalesce(F.greatest(mid - half, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(mid + half, F.lit(1.0)), F.lit(0.0))
+    m = F.nullif(n, F.lit(0))
+    p, d = hits / m, 1 + z * z / m
+    mid = (p + z * z / (2 * m)) / d
+    half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / d
+    cut = lambda x: F.when(n > 0, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return cut(mid - half), cut(mid + half)
 
 
 def ratios(df: DataFrame, keys: Sequence[str], over: str, under: str) -> DataFrame:
