@@ -36,15 +36,16 @@ _RULE = re.compile(r"[-|:+=_*\s]{3,}$")
 _REFERENCE = re.compile(r"^\W*(?:ref|refs|vid|véase|vegeu|see|cf|cód|codi)\b\.?.*\d", re.I)
 _QUOTED = re.compile(r"^\s*[«“\"].*[»”\"]\s*$")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—>]+|\(?\d{1,3}[.)º°ª]+|\(?[a-z]\))\s+")
-_END = re.compile(r"[.!?…:;][\"»”')\]]*\s*$")
+_END = re.compile(r"[.!?…][\"»”')\]]*\s*$")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+(?=[\"«“'(¿¡]*[A-ZÀ-ÖØ-Þ])")
 
 
 def sentences(text: str | None) -> list[str]:
     """The sentences of a document's prose.
 
-    Tables, headings, references and quoted titles are left out. A line break ends a sentence, but not in a text of which lines go on
-    in lower case: there the line must also be full, that is, the next line's first word would not have fitted into the width of the widest line.
+    Tables, headings, references and quoted titles are left out. A line break ends a sentence unless the next line, also an item of a
+    list, goes on in lower case, or the text is wrapped (some line goes on so) and the line is full: the next line's first word would not have
+    fitted into the width of the widest line.
     """
     if not text:
         return []
@@ -76,7 +77,8 @@ def sentences(text: str | None) -> list[str]:
                 parts.append(held)
             held = last = ""
             continue
-        if held and wrapped and not (_END.search(last) and len(last) < width - 20) and len(last) + 1 + len(stripped.split(None, 1)[0]) > width:
+        goes_on = held and not (_END.search(last) and len(last) < width - 20)
+        if goes_on and ((stripped[0].islower() and not _END.search(last)) or (wrapped and len(last) + 1 + len(stripped.split(None, 1)[0]) > width)):
             held = f"{held[:-1]}{stripped}" if held[-1] in "-‐" and held[-2:-1].isalpha() and stripped[0].islower() else f"{held} {stripped}"
         else:
             if held:

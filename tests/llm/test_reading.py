@@ -30,6 +30,7 @@ def test_sentences():
     assert len(R.sentences(wrapped)) == 2
     assert R.sentences("Edicto de Valle\nEl sol sale\nLa casa es verde\nVenga") == ["El sol sale", "La casa es verde", "Venga"]
     assert R.sentences("Hola a todos. <table><tr><td>9</td></tr></table>\nRef. 12/3, pág. 4\n| a | b |\n1\t2\nAdi&oacute;s.") == ["Hola a todos.", "Adiós."]
+    assert len(R.sentences("Ya que el Rectorado saca a concurso el alquiler;\n  - mientras que la Mesa calla;\n  - la Junta habla. Venga.")) == 2
     assert R.sentences(None) == R.sentences("") == []
 
 
