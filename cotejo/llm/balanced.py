@@ -71,40 +71,43 @@ def _flights(df: DataFrame, cell: str, margins: dict[int, tuple], seed: int, lev
     def run(parts):
         task = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, level, task])
-        waiting: dict[int, list] = {}  # one open record per category
+        waiting: dict[int, list] = {}  # the open record of each category: its place in this batch, or itself if it is of an earlier one; its probability
         for pdf in parts:
-            pis, cells, out = pdf["pi"].to_numpy(float).copy(), pdf[cell].to_numpy(), []
-            draws = rng.random(len(pdf))
-            for i in range(len(pdf)):
-                b, c = pis[i], cells[i]
+            chosen: list[int] = []
+            draws = rng.random(len(pdf)).tolist()
+            for i, (b, c) in enumerate(zip(pdf["pi"].tolist(), pdf[cell].tolist(), strict=True)):
                 if b >= 1 - _EPS:
-                    pis[i] = 1.0
-                    out.append(i)
+                    chosen.append(i)
                     continue
                 if b <= _EPS:
                     continue
                 held = waiting.get(c)
                 if held is None:
-                    waiting[c] = [pdf.iloc[[i]], b]
+                    waiting[c] = [i, b]
                     continue
-                a = held[1]
+                at, a = held
                 up, down = min(1 - a, b), min(a, 1 - b)
                 a, b = (a + up, b - up) if draws[i] * (up + down) < down else (a - down, b + down)
                 if b > 1 - _EPS:
-                    pis[i] = 1.0
-                    out.append(i)
+                    chosen.append(i)
                     b = 0.0
                 if a > 1 - _EPS:
-                    yield held[0].assign(pi=1.0, _task=task)
+                    if isinstance(at, int):
+                        chosen.append(at)
+                    else:
+                        yield at.assign(pi=1.0, _task=task)
                     a = 0.0
                 if a > _EPS:
                     held[1] = a
                 elif b > _EPS:
-                    waiting[c] = [pdf.iloc[[i]], b]
+                    waiting[c] = [i, b]
                 else:
                     del waiting[c]
-            if out:
-                yield pdf.iloc[out].assign(pi=1.0, _task=task)
+            if chosen:
+                yield pdf.iloc[chosen].assign(pi=1.0, _task=task)
+            for held in waiting.values():
+                if isinstance(held[0], int):
+                    held[0] = pdf.iloc[[held[0]]]
         if waiting:
             rest = pd.concat([x.assign(pi=p) for x, p in waiting.values()], ignore_index=True)
             pi = rest["pi"].to_numpy(float)
