@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.llm.textform import bare
-from cotejo.llm.words import Hashes, rolling, spellings
+from cotejo.llm.words import Hashes, portions, rolling, spellings
 from cotejo.sources import cut
 
 SHINGLE = 8
@@ -51,10 +51,10 @@ def matching_runs(documents: DataFrame, doc_id: str, text: str, wanted: np.ndarr
         table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         table[(want & mask).astype(np.int64)] = True
         hashes = Hashes()
-        for pdf in parts:
-            docs, found = pdf["doc"].to_numpy(), ([], [])
+        for docs, texts in ((pdf["doc"].to_numpy()[a:b], pdf["text"].iloc[a:b]) for pdf in parts for a, b in portions(pdf["text"])):
+            found = ([], [])
             words, ends = [], []
-            for t in pdf["text"]:
+            for t in texts:
                 if t is not None:
                     words += spellings(t)
                 ends.append(len(words))

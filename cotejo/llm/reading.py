@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm.textform import _IGNORED, bare
-from cotejo.llm.words import _ENTITY, _TAG, REMEMBERED
+from cotejo.llm.words import _ENTITY, _TAG, REMEMBERED, portions
 
 LEVELS = 5
 #: Labelled documents that a fit reads at most, drawn by hash, and characters of the longest of them.
@@ -322,7 +322,8 @@ def levels(documents: DataFrame, doc_id: str, text: str, model: Model) -> DataFr
     def run(parts):
         scorer = Scorer(shared.value)
         for pdf in parts:
-            p = scorer.score(list(pdf["text"]))
+            texts = list(pdf["text"])
+            p = np.concatenate([scorer.score(texts[a:b]) for a, b in portions(texts)])
             known = ~np.isnan(p[:, 0])
             level = pd.array(np.where(known, 1 + (p >= 0.5).sum(1), 0), dtype="Int32")
             level[~known] = pd.NA

@@ -41,6 +41,18 @@ def spellings(text: str) -> list[str]:
     return _WORD.findall(text.replace("_", " ") if "_" in text else text)
 
 
+def portions(texts, most: int = 2_000_000):
+    """Ranges (first, after) of consecutive texts, of about `most` characters each, so that batches of long texts don't fill the memory."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if t is not None else 0
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts) or not len(texts):
+        yield first, len(texts)
+
+
 class Hashes(dict):
     """64-bit hash of each spelling's bare form, worked out once per distinct spelling."""
 
