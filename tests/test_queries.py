@@ -2,10 +2,10 @@ import os
 
 import pytest
 
-from cotejo.plans import campaign, corpus, general, stats
+from cotejo.plans import campaign, corpus, general, report, stats
 from tests.oracle import ROOT, compare, connect
 
-MODULES = (campaign, corpus, general, stats)
+MODULES = (campaign, corpus, general, report, stats)
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 
