@@ -25,7 +25,7 @@ from cotejo.llm.words import _ENTITY, _TAG, REMEMBERED, portions
 
 LEVELS = 5
 #: Labelled documents that a fit reads at most, drawn by hash, and characters of the longest of them.
-LABELLED, LONGEST = 2000, 200_000
+LABELLED, LONGEST = 2000, 50_000
 GRAM_BUCKETS = 1 << 16
 
 _WORD = re.compile(r"\w+")
