@@ -146,6 +146,13 @@ def levenshtein_ascii(spark: SparkSession, root: str) -> DataFrame:
     return plain.select("correccion_id", F.levenshtein("puse", "el_pdf_dice").alias("distancia"), F.round(F.levenshtein("puse", "el_pdf_dice") / F.greatest(F.length("puse"), F.length("el_pdf_dice")), 6).alias("relativa"))
 
 
+def levenshtein_code_points(spark: SparkSession, root: str) -> DataFrame:
+    """Distance of every pair by code points, and over the longer of the two. A null side has neither, an empty one is as far as the other is long, two empty ones are equal."""
+    c = table(spark, root, "correcciones").select("correccion_id", "puse", "el_pdf_dice").distinct()
+    d, longest = F.levenshtein("puse", "el_pdf_dice"), F.greatest(F.length("puse"), F.length("el_pdf_dice"))
+    return c.select("correccion_id", d.alias("distancia"), F.round(F.when(d == 0, 0.0).otherwise(d / longest), 6).alias("relativa"))
+
+
 def code_points(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "correcciones").select("correccion_id", T.code_points(F.col("puse")).alias("puntos")).distinct()
 
@@ -286,7 +293,7 @@ def answer_accuracy(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     doc_keys, text_normalized, html_features, top_tags, token_containment, pair_verdicts, discard_census, coherence_scores, manifest_violations, duplicate_keys, duplicate_digests, byte_integrity,
-    table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_ascii, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
+    table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_ascii, levenshtein_code_points, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
     journal_lines, journal_done, journal_repeated, journal_contradictions, manifest_json, requested_order, inherited_documents, span_verdicts, conformance, egress_offenders, vocabulary_drift, answer_accuracy,
 )}
 
