@@ -252,6 +252,17 @@ def requested_order(spark: SparkSession, root: str) -> DataFrame:
     return d.orderBy(F.desc("n_chars"), "doc_id").limit(50)
 
 
+def documents_in_order(spark: SparkSession, root: str) -> DataFrame:
+    """All documents in their own order."""
+    return journal.ordered(_docs(spark, root), None, "external_id", "doc_id")
+
+
+def requested_documents(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of the candidates in the order in which they were chosen; every fetch of a document that was fetched more than once."""
+    asked = table(spark, root, "elegidos").select(F.col("id").alias("external_id"), F.col("elegido_en").alias("_asked")).distinct()
+    return journal.ordered(_docs(spark, root), asked, "external_id", "doc_id")
+
+
 def inherited_documents(spark: SparkSession, root: str) -> DataFrame:
     found = table(spark, root, "elegidos").select(F.col("id").alias("external_id")).distinct()
     state = corpus.inherited(found, table(spark, root, "seleccion"), _docs(spark, root).filter("text IS NOT NULL"), "external_id")
@@ -294,7 +305,7 @@ def answer_accuracy(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     doc_keys, text_normalized, html_features, top_tags, token_containment, pair_verdicts, discard_census, coherence_scores, manifest_violations, duplicate_keys, duplicate_digests, byte_integrity,
     table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_ascii, levenshtein_code_points, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
-    journal_lines, journal_done, journal_repeated, journal_contradictions, manifest_json, requested_order, inherited_documents, span_verdicts, conformance, egress_offenders, vocabulary_drift, answer_accuracy,
+    journal_lines, journal_done, journal_repeated, journal_contradictions, manifest_json, requested_order, documents_in_order, requested_documents, inherited_documents, span_verdicts, conformance, egress_offenders, vocabulary_drift, answer_accuracy,
 )}
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(nfc_normalize(text), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'), '\p{Cf}', '', 'g'), '[\p{Cc}\p{Zs}\p{Zl}\p{Zp}]', ' ', 'g'), ' +', ' ', 'g'))"
@@ -362,6 +373,8 @@ SELECT doc_id, n_tables, n_images, len(sp) AS n_spans, coalesce(list_max(sp), 1)
     "journal_contradictions": _JN + "SELECT extractor_id, 'failed without a reason' AS why, count(*) AS n FROM r WHERE error <> '' AND medicion_id % 2 = 1 GROUP BY extractor_id",
     "manifest_json": """SELECT doc_id, '{"doc_id":' || doc_id || ',"external_id":"' || external_id || '","fecha":' || coalesce('"' || published_on || '"', 'null') || ',"lang":' || coalesce('"' || lang || '"', 'null') || '}' AS json FROM documents""",
     "requested_order": "SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 50",
+    "documents_in_order": "SELECT * REPLACE (fetched_at::TIMESTAMP AS fetched_at) FROM documents ORDER BY doc_id",
+    "requested_documents": "SELECT d.* REPLACE (d.fetched_at::TIMESTAMP AS fetched_at) FROM (SELECT DISTINCT id, elegido_en FROM elegidos) e JOIN documents d ON d.external_id = e.id ORDER BY e.elegido_en, e.id, d.doc_id",
     "inherited_documents": "SELECT CASE WHEN id IN (SELECT external_id FROM seleccion) AND id IN (SELECT external_id FROM documents WHERE text IS NOT NULL) THEN 'heredado' ELSE 'pedir' END AS state, count(*) AS n FROM (SELECT DISTINCT id FROM elegidos) GROUP BY 1",
     "span_verdicts": "WITH h AS (SELECT DISTINCT medicion_id, extractor_id, tablas_halladas, paginas FROM humo), g AS (SELECT extractor_id, tablas_halladas % 2 = 0 AS declarado, tablas_halladas % 3 = 0 AS vio, coalesce(paginas, 1) % 2 = 0 AS ocasion, count(*) AS n FROM h GROUP BY ALL) SELECT *, CASE WHEN declarado AND extractor_id NOT IN ('rejilla', 'visor') THEN 'CONTRADICCION' WHEN NOT declarado AND vio THEN 'ESCONDIDO' WHEN NOT declarado AND extractor_id IN ('rejilla', 'visor') AND NOT ocasion THEN 'SIN_EVIDENCIA' ELSE 'COHERENTE' END AS veredicto FROM g",
     "conformance": "SELECT extractor_id || ' ' || extractor_version AS candidato, NOT bool_or(error = 'timeout') AS passes FROM humo GROUP BY 1",

@@ -80,12 +80,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("strata", F.array_sort(F.array_distinct(F.coalesce("strata", F.array().cast("array<string>")))))
 
 
-def ordered(documents: DataFrame, ids: list[str] | None, key: str, pos: str) -> DataFrame:
-    """The documents asked for, in the order asked for; all in their own order if none are named. A name asked for twice comes twice."""
+def ordered(documents: DataFrame, ids: list[str] | DataFrame | None, key: str, pos: str) -> DataFrame:
+    """The documents asked for, in the order asked for; all in their own order if none are named. A name asked for twice comes twice.
+
+    A long list is a table: `key` and _asked, by which it is ordered, and by the name where that is the same.
+    """
     if ids is None:
         return documents.orderBy(pos)
-    asked = documents.sparkSession.createDataFrame(list(enumerate(ids)), f"_asked int, `{key}` string")
-    return asked.join(documents, key).orderBy("_asked").drop("_asked")
+    asked = ids if isinstance(ids, DataFrame) else documents.sparkSession.createDataFrame(list(enumerate(ids)), f"_asked int, `{key}` string")
+    return asked.join(documents, key).orderBy("_asked", key, pos).drop("_asked")
 
 
 def with_bytes(documents: DataFrame, files: DataFrame, name: str, sha: str) -> DataFrame:
