@@ -174,6 +174,19 @@ def header_prefix(spark: SparkSession, root: str) -> DataFrame:
     return grid.header_prefix(c.gold_cells, c.gold_tables, KEYS)
 
 
+def grid_comparison_panel(spark: SparkSession, root: str) -> DataFrame:
+    """Positions on which each extractor's grid differs from the true one, by document with equal counts."""
+    c = Campaign(spark, root)
+    ok = c.counts.filter("same").select("extractor", "doc")
+    gold = c.gold_cells.join(ok.select("doc").distinct(), "doc", "left_semi")
+    sides = []
+    for cells, tables, keys in ((gold, c.gold_tables, KEYS), (c.pred_cells.join(ok, ["extractor", "doc"], "left_semi"), c.pred_tables, scoring.TABLE)):
+        at = grid.positions(cells, tables, keys)
+        own = cells.select(*keys, "cell_idx", "row", "col", "text")
+        sides.append(at.join(own, [*keys, "cell_idx"]).select(*keys, "r", "c", ((F.col("row") == F.col("r")) & (F.col("col") == F.col("c"))).alias("is_anchor"), "text"))
+    return grid.compare_grids(ok.join(sides[0], "doc"), sides[1], scoring.TABLE, ["text"])
+
+
 def grid_comparison(spark: SparkSession, root: str) -> DataFrame:
     """Positions on which one extractor's grid differs from the true one, by document with equal counts."""
     c = Campaign(spark, root)
@@ -259,7 +272,7 @@ _BACK = "SELECT doc, table_idx, \"row\", col, 1 AS rowspan, {} AS colspan, text,
 
 QUERIES = {f.__name__: f for f in (
     campaign_detection, cell_f1_by_extractor, cell_accuracy, evaluable_coverage, page_weighted_score, panel_intersections, head_to_head_delta, agreement_by_band,
-    teds_scores, grid_cells_at, header_prefix, grid_comparison, table_ordinals,
+    teds_scores, grid_cells_at, header_prefix, grid_comparison_panel, grid_comparison, table_ordinals,
 )} | {f"{k}_roundtrip_cells": partial(_roundtrip, kind=k) for k in ("html", "markdown", "tei", "text")}
 
 SQL = {
@@ -276,6 +289,11 @@ SQL = {
     "grid_comparison": _W + """SELECT coalesce(g.doc, p.doc) AS doc, coalesce(g.table_idx, p.table_idx) AS table_idx, coalesce(g.r, p.r) AS r, coalesce(g.c, p.c) AS c, CASE WHEN g.s IS DISTINCT FROM p.s THEN 'ESTADO' ELSE 'TEXTO' END AS kind
 FROM (SELECT doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM gc WHERE doc IN (SELECT doc FROM ok WHERE extractor = 'beta') UNION ALL SELECT doc, table_idx, "row", 1, 'c', text FROM gc WHERE colspan = 2 AND doc IN (SELECT doc FROM ok WHERE extractor = 'beta')) g
 FULL JOIN (SELECT doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM pc WHERE extractor = 'beta' AND doc IN (SELECT doc FROM ok WHERE extractor = 'beta')) p ON g.doc = p.doc AND g.table_idx = p.table_idx AND g.r = p.r AND g.c = p.c
+WHERE g.s IS DISTINCT FROM p.s OR (g.s = 'a' AND g.text IS DISTINCT FROM p.text)""",
+    "grid_comparison_panel": _W + """SELECT coalesce(g.extractor, p.extractor) AS extractor, coalesce(g.doc, p.doc) AS doc, coalesce(g.table_idx, p.table_idx) AS table_idx, coalesce(g.r, p.r) AS r, coalesce(g.c, p.c) AS c, CASE WHEN g.s IS DISTINCT FROM p.s THEN 'ESTADO' ELSE 'TEXTO' END AS kind
+FROM (SELECT extractor, gc.doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM gc JOIN ok USING (doc) UNION ALL SELECT extractor, gc.doc, table_idx, "row", 1, 'c', text FROM gc JOIN ok USING (doc) WHERE colspan = 2) g
+FULL JOIN (SELECT extractor, doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM pc JOIN ok USING (extractor, doc) UNION ALL SELECT extractor, doc, table_idx, "row", 1, 'c', text FROM pc JOIN ok USING (extractor, doc) WHERE colspan = 2) p
+  ON g.extractor = p.extractor AND g.doc = p.doc AND g.table_idx = p.table_idx AND g.r = p.r AND g.c = p.c
 WHERE g.s IS DISTINCT FROM p.s OR (g.s = 'a' AND g.text IS DISTINCT FROM p.text)""",
     "table_ordinals": _W + "SELECT doc, table_idx, n_rows::INT AS n_rows, n_cols, row_number() OVER (PARTITION BY doc, n_rows ORDER BY table_idx) AS ordinal FROM gt",
     "html_roundtrip_cells": _W + _BACK.format("colspan", "is_header"),
