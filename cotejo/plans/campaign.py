@@ -169,6 +169,13 @@ def grid_cells_at(spark: SparkSession, root: str) -> DataFrame:
     return grid.cell_at(covered, KEYS).groupBy("doc", "table_idx").agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("cell_idx").alias("cells"))
 
 
+def grid_cells_at_all(spark: SparkSession, root: str) -> DataFrame:
+    """How many positions each table has covered, and how many cells are the first to cover one."""
+    c = Campaign(spark, root)
+    covered = grid.positions(c.gold_cells, c.gold_tables, KEYS)
+    return grid.cell_at(covered, KEYS).groupBy("doc", "table_idx").agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("cell_idx").alias("cells"))
+
+
 def header_prefix(spark: SparkSession, root: str) -> DataFrame:
     c = Campaign(spark, root)
     return grid.header_prefix(c.gold_cells, c.gold_tables, KEYS)
@@ -272,7 +279,7 @@ _BACK = "SELECT doc, table_idx, \"row\", col, 1 AS rowspan, {} AS colspan, text,
 
 QUERIES = {f.__name__: f for f in (
     campaign_detection, cell_f1_by_extractor, cell_accuracy, evaluable_coverage, page_weighted_score, panel_intersections, head_to_head_delta, agreement_by_band,
-    teds_scores, grid_cells_at, header_prefix, grid_comparison_panel, grid_comparison, table_ordinals,
+    teds_scores, grid_cells_at, grid_cells_at_all, header_prefix, grid_comparison_panel, grid_comparison, table_ordinals,
 )} | {f"{k}_roundtrip_cells": partial(_roundtrip, kind=k) for k in ("html", "markdown", "tei", "text")}
 
 SQL = {
@@ -285,6 +292,7 @@ SQL = {
     "head_to_head_delta": _S + f", a4 AS ({_ALL4.format('ds')}) SELECT extractor, round(c, 6) AS common, round(o, 6) AS own, round(c - o, 6) AS delta, documents FROM (SELECT extractor, avg(score) AS o, avg(score) FILTER (doc IN (SELECT doc FROM a4)) AS c, count(*) FILTER (doc IN (SELECT doc FROM a4)) AS documents FROM ds GROUP BY extractor) WHERE documents > 0",
     "agreement_by_band": _S + f"SELECT CASE WHEN n_pages = 1 THEN 'una página' WHEN n_pages BETWEEN 2 AND 10 THEN '2-10' WHEN n_pages BETWEEN 11 AND 50 THEN '11-50' WHEN n_pages > 50 THEN '>50' ELSE '(sin páginas)' END AS band, count(*) FILTER (doc IN ({_ALL4.format('ok')})) AS agree, count(*) AS population FROM (SELECT DISTINCT doc FROM dc) LEFT JOIN pg USING (doc) GROUP BY 1",
     "grid_cells_at": _W + "SELECT doc, table_idx, n_rows * 4 AS positions, n_rows * 4 - 1 AS cells FROM gt WHERE has_span",
+    "grid_cells_at_all": _W + "SELECT doc, table_idx, n_rows * 4 AS positions, n_rows * 4 - CASE WHEN has_span THEN 1 ELSE 0 END AS cells FROM gt",
     "header_prefix": _W + "SELECT doc, table_idx, 1 AS header_rows FROM gt",
     "grid_comparison": _W + """SELECT coalesce(g.doc, p.doc) AS doc, coalesce(g.table_idx, p.table_idx) AS table_idx, coalesce(g.r, p.r) AS r, coalesce(g.c, p.c) AS c, CASE WHEN g.s IS DISTINCT FROM p.s THEN 'ESTADO' ELSE 'TEXTO' END AS kind
 FROM (SELECT doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM gc WHERE doc IN (SELECT doc FROM ok WHERE extractor = 'beta') UNION ALL SELECT doc, table_idx, "row", 1, 'c', text FROM gc WHERE colspan = 2 AND doc IN (SELECT doc FROM ok WHERE extractor = 'beta')) g
