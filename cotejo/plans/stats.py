@@ -76,7 +76,7 @@ def cluster_bootstrap_ci(spark: SparkSession, root: str) -> DataFrame:
     per_doc = t.groupBy("banda", "fixture").agg(F.sum("segundos").alias("s"), F.sum("paginas").alias("p"))
     docs = table(spark, root, "elegidos").filter("paginas > 0").select("id", "paginas").distinct().withColumn("banda", scoring.band(F.col("paginas"), scoring.COST_BANDS))
     weights = docs.groupBy("banda").agg(F.sum("paginas").alias("w"))
-    return stats.bootstrap_ratio(per_doc, "banda", "fixture", "s", "p", weights, "w", replicas=200)
+    return stats.bootstrap_ratio(per_doc, "banda", "fixture", "s", "p", weights, "w", replicas=10_000)
 
 
 def quartiles_exclusive(spark: SparkSession, root: str) -> DataFrame:
