@@ -22,7 +22,7 @@ MEMBERS = ("id", "version", "expresses_spans", "runs_locally", "read")
 # Names of exception classes that say why an extraction failed.
 CAUSES = {
     "timeout": ("TimeoutError", "TimeoutExpired", "Timeout"), "out_of_memory": ("MemoryError", "OutOfMemoryError"),
-    "unsupported_format": ("UnsupportedFormat", "NotImplementedError"), "corrupt_pdf": ("PDFSyntaxError", "PdfReadError", "FileDataError", "UnicodeDecodeError"),
+    "unsupported_format": ("UnsupportedFormat", "NotImplementedError"), "corrupt_pdf": ("PDFSyntaxError", "PSSyntaxError", "PSEOF", "PdfReadError", "FileDataError", "UnicodeDecodeError"),
     "encrypted_pdf": ("PDFPasswordIncorrect", "PDFEncryptionError", "FileNotDecryptedError"), "no_text_layer": ("NoTextLayer", "PDFTextExtractionNotAllowed"), "policy_blocked": ("PermissionError",),
 }
 ROW = f"extractor string, doc string, tables array<{TABLE_TYPE}>, pages int, latency_ms bigint, failed boolean, failure_reason string"
@@ -39,16 +39,22 @@ class Extractor(Protocol):
 
 
 def cause_of(error: BaseException, depth: int = 6) -> str:
-    """Why an extraction failed: by the class of the error or one it derives from, else of the errors behind it, else provider_error."""
+    """Why an extraction failed: by the class of the error or one it derives from, else of the errors behind it, the nearest first, else provider_error.
+
+    Behind an error are those it was raised from, was raised while handling, and carries among its arguments. At most `depth` errors are looked at, each once.
+    """
     by_name = {name: cause for cause, names in CAUSES.items() for name in names}
-    seen: list[BaseException] = []
-    at: BaseException | None = error
-    while at is not None and len(seen) < depth and at not in seen:
-        for kind in type(at).__mro__:
-            if kind.__name__ in by_name:
-                return by_name[kind.__name__]
-        seen.append(at)
-        at = at.__cause__ or at.__context__
+    known, ring = {}, [error]
+    while ring:
+        behind = []
+        for e in ring:
+            if id(e) in known or len(known) == depth:
+                continue
+            known[id(e)] = e
+            if (named := next((by_name[k.__name__] for k in type(e).__mro__ if k.__name__ in by_name), None)) is not None:
+                return named
+            behind += [x for x in (e.__cause__, e.__context__, *e.args) if isinstance(x, BaseException)]
+        ring = behind if len(known) < depth else []
     return "provider_error"
 
 

@@ -27,10 +27,23 @@ def span(first: Column, after: Column) -> Column:
     return F.when(after > first, F.sequence(first, after - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def area(tables: DataFrame) -> Column:
+    """Positions of a table's grid; a product that no two numbers of rows and columns can overflow."""
+    return F.col("n_rows").cast("decimal(19,0)") * F.col("n_cols").cast("decimal(19,0)")
+
+
+def _whole_numbers(tables: DataFrame) -> DataFrame:
+    return tables.withColumns({n: F.col(n).cast("int") for n in ("n_rows", "n_cols")})
+
+
+def expandable(tables: DataFrame) -> DataFrame:
+    """The tables whose grid can be gone through, their numbers of rows and columns as INT."""
+    return _whole_numbers(tables.filter((F.col("n_rows") > 0) & (F.col("n_cols") > 0) & (area(tables) <= AREA)))
+
+
 def positions(cells: DataFrame, tables: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`keys`, cell_idx, r, c: each position that a cell covers, cut to the table's grid. Tables beyond AREA have none."""
-    size = F.col("n_rows").cast("bigint") * F.col("n_cols")
-    fit = tables.filter((F.col("n_rows") > 0) & (F.col("n_cols") > 0) & (size <= AREA)).select(*keys, "n_rows", "n_cols")
+    fit = expandable(tables).select(*keys, "n_rows", "n_cols")
     inside = cells.join(fit, list(keys))
     end = lambda at, by, n: F.least(F.col(at).cast("bigint") + F.col(by), F.col(n).cast("bigint")).cast("int")
     rows = span(F.greatest(F.col("row"), F.lit(0)), end("row", "rowspan", "n_rows"))
@@ -51,8 +64,7 @@ def overlaps(covered: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def holes(covered: DataFrame, tables: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`keys`, r, c of the positions that no cell covers."""
-    size = F.col("n_rows").cast("bigint") * F.col("n_cols")
-    fit = tables.filter((F.col("n_rows") > 0) & (F.col("n_cols") > 0) & (size <= AREA))
+    fit = expandable(tables)
     rows = fit.select(*keys, "n_cols", F.explode(span(F.lit(0), F.col("n_rows"))).alias("r"))
     taken = covered.groupBy(*keys, "r").agg(F.collect_set("c").alias("_taken"))
     empty = F.array().cast("array<int>")
@@ -77,9 +89,9 @@ def findings(tables: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFr
     place: the cell, row or column number, or row,col.
     """
     keys = list(keys)
-    area = F.col("n_rows").cast("bigint") * F.col("n_cols") > AREA
-    huge = tables.filter(area).select(*keys, F.lit("AREA_EXCESIVA").alias("code"), F.lit("").alias("place"))
-    fit = tables.filter(~area)
+    too_large = area(tables) > AREA
+    huge = tables.filter(too_large).select(*keys, F.lit("AREA_EXCESIVA").alias("code"), F.lit("").alias("place"))
+    fit = _whole_numbers(tables.filter(~too_large))
     of_table = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"), F.bool_or((F.col("rowspan") > 1) | (F.col("colspan") > 1)).alias("_spans"))
     whole = fit.join(of_table, keys, "left").withColumn("_cells", F.coalesce("_cells", F.lit(0))).withColumn("_spans", F.coalesce("_spans", F.lit(False)))
     n, m = F.col("n_rows"), F.col("n_cols")
@@ -135,6 +147,14 @@ def finding_census(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per.groupBy("code").agg(F.count(F.lit(1)).alias("tables"), F.sum("n").alias("lines"))
 
 
+def compare_sizes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys`, r, c (both null), kind DIMENSION: the tables that both sides have, of other numbers of rows or columns. Both have keys, n_rows and n_cols."""
+    a, b = ([F.col(n).alias(f"_{side}{n}") for n in ("n_rows", "n_cols")] for side in "lr")
+    both = left.select(*keys, *a).join(right.select(*keys, *b), list(keys))
+    other = both.filter(~(F.col("_ln_rows").eqNullSafe(F.col("_rn_rows")) & F.col("_ln_cols").eqNullSafe(F.col("_rn_cols"))))
+    return other.select(*keys, F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("c"), F.lit("DIMENSION").alias("kind"))
+
+
 def compare_grids(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """`keys`, r, c, kind: positions on which two grids differ.
 

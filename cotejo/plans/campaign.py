@@ -162,13 +162,6 @@ def teds_scores(spark: SparkSession, root: str) -> DataFrame:
     return per.groupBy("extractor").agg(F.round(F.avg("t"), 6).alias("teds"), F.round(F.avg("s"), 6).alias("teds_s"), F.round(scoring.publishable(F.min("t")), 6).alias("worst"), F.count(F.lit(1)).alias("documents"))
 
 
-def grid_cells_at(spark: SparkSession, root: str) -> DataFrame:
-    """How many positions each cell of a merged table is the first to cover."""
-    c = Campaign(spark, root)
-    covered = grid.positions(c.gold_cells.filter("doc % 3 = 0"), c.gold_tables, KEYS)
-    return grid.cell_at(covered, KEYS).groupBy("doc", "table_idx").agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("cell_idx").alias("cells"))
-
-
 def grid_cells_at_all(spark: SparkSession, root: str) -> DataFrame:
     """How many positions each table has covered, and how many cells are the first to cover one."""
     c = Campaign(spark, root)
@@ -182,7 +175,7 @@ def header_prefix(spark: SparkSession, root: str) -> DataFrame:
 
 
 def grid_comparison_panel(spark: SparkSession, root: str) -> DataFrame:
-    """Positions on which each extractor's grid differs from the true one, by document with equal counts."""
+    """Tables of other dimensions than the true ones, and positions on which each extractor's grid differs from the true one, by document with equal counts."""
     c = Campaign(spark, root)
     ok = c.counts.filter("same").select("extractor", "doc")
     gold = c.gold_cells.join(ok.select("doc").distinct(), "doc", "left_semi")
@@ -191,20 +184,8 @@ def grid_comparison_panel(spark: SparkSession, root: str) -> DataFrame:
         at = grid.positions(cells, tables, keys)
         own = cells.select(*keys, "cell_idx", "row", "col", "text")
         sides.append(at.join(own, [*keys, "cell_idx"]).select(*keys, "r", "c", ((F.col("row") == F.col("r")) & (F.col("col") == F.col("c"))).alias("is_anchor"), "text"))
-    return grid.compare_grids(ok.join(sides[0], "doc"), sides[1], scoring.TABLE, ["text"])
-
-
-def grid_comparison(spark: SparkSession, root: str) -> DataFrame:
-    """Positions on which one extractor's grid differs from the true one, by document with equal counts."""
-    c = Campaign(spark, root)
-    ok = c.counts.filter("same AND extractor = 'beta'").select("doc")
-    sides = []
-    for cells, tables in ((c.gold_cells, c.gold_tables), (c.pred_cells.filter("extractor = 'beta'"), c.pred_tables.filter("extractor = 'beta'"))):
-        cells = cells.join(ok, "doc", "left_semi")
-        at = grid.positions(cells, tables, KEYS)
-        own = cells.select(*KEYS, "cell_idx", "row", "col", "text")
-        sides.append(at.join(own, [*KEYS, "cell_idx"]).select(*KEYS, "r", "c", ((F.col("row") == F.col("r")) & (F.col("col") == F.col("c"))).alias("is_anchor"), "text"))
-    return grid.compare_grids(sides[0], sides[1], KEYS, ["text"])
+    sizes = grid.compare_sizes(ok.join(c.gold_tables, "doc"), c.pred_tables, scoring.TABLE)
+    return grid.compare_grids(ok.join(sides[0], "doc"), sides[1], scoring.TABLE, ["text"]).unionByName(sizes)
 
 
 def table_ordinals(spark: SparkSession, root: str) -> DataFrame:
@@ -279,7 +260,7 @@ _BACK = "SELECT doc, table_idx, \"row\", col, 1 AS rowspan, {} AS colspan, text,
 
 QUERIES = {f.__name__: f for f in (
     campaign_detection, cell_f1_by_extractor, cell_accuracy, evaluable_coverage, page_weighted_score, panel_intersections, head_to_head_delta, agreement_by_band,
-    teds_scores, grid_cells_at, grid_cells_at_all, header_prefix, grid_comparison_panel, grid_comparison, table_ordinals,
+    teds_scores, grid_cells_at_all, header_prefix, grid_comparison_panel, table_ordinals,
 )} | {f"{k}_roundtrip_cells": partial(_roundtrip, kind=k) for k in ("html", "markdown", "tei", "text")}
 
 SQL = {
@@ -291,18 +272,14 @@ SQL = {
     "panel_intersections": _S + f"SELECT 'puntúan' AS intersection, count(*) AS documents FROM ({_ALL4.format('ds')}) UNION ALL SELECT 'acuerdo', count(*) FROM ({_ALL4.format('ok')}) UNION ALL SELECT 'población', count(DISTINCT doc) FROM dc",
     "head_to_head_delta": _S + f", a4 AS ({_ALL4.format('ds')}) SELECT extractor, round(c, 6) AS common, round(o, 6) AS own, round(c - o, 6) AS delta, documents FROM (SELECT extractor, avg(score) AS o, avg(score) FILTER (doc IN (SELECT doc FROM a4)) AS c, count(*) FILTER (doc IN (SELECT doc FROM a4)) AS documents FROM ds GROUP BY extractor) WHERE documents > 0",
     "agreement_by_band": _S + f"SELECT CASE WHEN n_pages = 1 THEN 'una página' WHEN n_pages BETWEEN 2 AND 10 THEN '2-10' WHEN n_pages BETWEEN 11 AND 50 THEN '11-50' WHEN n_pages > 50 THEN '>50' ELSE '(sin páginas)' END AS band, count(*) FILTER (doc IN ({_ALL4.format('ok')})) AS agree, count(*) AS population FROM (SELECT DISTINCT doc FROM dc) LEFT JOIN pg USING (doc) GROUP BY 1",
-    "grid_cells_at": _W + "SELECT doc, table_idx, n_rows * 4 AS positions, n_rows * 4 - 1 AS cells FROM gt WHERE has_span",
     "grid_cells_at_all": _W + "SELECT doc, table_idx, n_rows * 4 AS positions, n_rows * 4 - CASE WHEN has_span THEN 1 ELSE 0 END AS cells FROM gt",
     "header_prefix": _W + "SELECT doc, table_idx, 1 AS header_rows FROM gt",
-    "grid_comparison": _W + """SELECT coalesce(g.doc, p.doc) AS doc, coalesce(g.table_idx, p.table_idx) AS table_idx, coalesce(g.r, p.r) AS r, coalesce(g.c, p.c) AS c, CASE WHEN g.s IS DISTINCT FROM p.s THEN 'ESTADO' ELSE 'TEXTO' END AS kind
-FROM (SELECT doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM gc WHERE doc IN (SELECT doc FROM ok WHERE extractor = 'beta') UNION ALL SELECT doc, table_idx, "row", 1, 'c', text FROM gc WHERE colspan = 2 AND doc IN (SELECT doc FROM ok WHERE extractor = 'beta')) g
-FULL JOIN (SELECT doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM pc WHERE extractor = 'beta' AND doc IN (SELECT doc FROM ok WHERE extractor = 'beta')) p ON g.doc = p.doc AND g.table_idx = p.table_idx AND g.r = p.r AND g.c = p.c
-WHERE g.s IS DISTINCT FROM p.s OR (g.s = 'a' AND g.text IS DISTINCT FROM p.text)""",
     "grid_comparison_panel": _W + """SELECT coalesce(g.extractor, p.extractor) AS extractor, coalesce(g.doc, p.doc) AS doc, coalesce(g.table_idx, p.table_idx) AS table_idx, coalesce(g.r, p.r) AS r, coalesce(g.c, p.c) AS c, CASE WHEN g.s IS DISTINCT FROM p.s THEN 'ESTADO' ELSE 'TEXTO' END AS kind
 FROM (SELECT extractor, gc.doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM gc JOIN ok USING (doc) UNION ALL SELECT extractor, gc.doc, table_idx, "row", 1, 'c', text FROM gc JOIN ok USING (doc) WHERE colspan = 2) g
 FULL JOIN (SELECT extractor, doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM pc JOIN ok USING (extractor, doc) UNION ALL SELECT extractor, doc, table_idx, "row", 1, 'c', text FROM pc JOIN ok USING (extractor, doc) WHERE colspan = 2) p
   ON g.extractor = p.extractor AND g.doc = p.doc AND g.table_idx = p.table_idx AND g.r = p.r AND g.c = p.c
-WHERE g.s IS DISTINCT FROM p.s OR (g.s = 'a' AND g.text IS DISTINCT FROM p.text)""",
+WHERE g.s IS DISTINCT FROM p.s OR (g.s = 'a' AND g.text IS DISTINCT FROM p.text)
+UNION ALL SELECT extractor, doc, table_idx, NULL, NULL, 'DIMENSION' FROM pt JOIN ok USING (extractor, doc) JOIN gt USING (doc, table_idx) WHERE pt.n_rows <> gt.n_rows""",
     "table_ordinals": _W + "SELECT doc, table_idx, n_rows::INT AS n_rows, n_cols, row_number() OVER (PARTITION BY doc, n_rows ORDER BY table_idx) AS ordinal FROM gt",
     "html_roundtrip_cells": _W + _BACK.format("colspan", "is_header"),
     "tei_roundtrip_cells": _W + _BACK.format("colspan", "is_header"),

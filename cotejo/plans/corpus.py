@@ -106,7 +106,7 @@ def _grid(spark, root) -> tuple[DataFrame, DataFrame]:
     """Tables and cells of celdas_pdf as last read. Cells of unknown place are left out."""
     c = cut(latest(table(spark, root, "celdas_pdf"), [*TABLE, "celda"], "leido_en", ["row", "col", "rowspan", "colspan"]).filter("row IS NOT NULL AND col IS NOT NULL AND rowspan IS NOT NULL AND colspan IS NOT NULL"), "cells")
     cells = c.select(*TABLE, F.col("celda").alias("cell_idx"), "row", "col", "rowspan", "colspan")
-    size = cells.filter("row >= 0 AND col >= 0 AND row < 5000 AND col < 5000").groupBy(*TABLE).agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+    size = cells.filter("row >= 0 AND col >= 0").groupBy(*TABLE).agg((F.max("row").cast("bigint") + 1).alias("n_rows"), (F.max("col").cast("bigint") + 1).alias("n_cols"))
     t = size.select(
         *TABLE, "n_rows", "n_cols", (F.col("tabla") % 7).alias("first_page"), (F.col("tabla") % 5).alias("last_page"), (F.col("tabla") % 4 != 3).alias("expresses_spans"),
         F.when(F.col("tabla") % 6 == 5, "docx").when(F.col("tabla") % 6 == 4, "text").otherwise("html").alias("source_format"),
@@ -140,12 +140,6 @@ def grid_overlaps(spark: SparkSession, root: str) -> DataFrame:
     return grid.overlaps(grid.positions(c, t, TABLE), TABLE)
 
 
-def levenshtein_ascii(spark: SparkSession, root: str) -> DataFrame:
-    c = table(spark, root, "correcciones").select("correccion_id", "puse", "el_pdf_dice").distinct()
-    plain = c.filter(F.col("puse").rlike(r"^[\x20-\x7e]+$") & F.col("el_pdf_dice").rlike(r"^[\x20-\x7e]+$"))
-    return plain.select("correccion_id", F.levenshtein("puse", "el_pdf_dice").alias("distancia"), F.round(F.levenshtein("puse", "el_pdf_dice") / F.greatest(F.length("puse"), F.length("el_pdf_dice")), 6).alias("relativa"))
-
-
 def levenshtein_code_points(spark: SparkSession, root: str) -> DataFrame:
     """Distance of every pair by code points, and over the longer of the two. A null side has neither, an empty one is as far as the other is long, two empty ones are equal."""
     c = table(spark, root, "correcciones").select("correccion_id", "puse", "el_pdf_dice").distinct()
@@ -246,12 +240,6 @@ def manifest_json(spark: SparkSession, root: str) -> DataFrame:
     return d.select("doc_id", journal.stable_json(F.struct("doc_id", "external_id", "fecha", "lang")).alias("json"))
 
 
-def requested_order(spark: SparkSession, root: str) -> DataFrame:
-    """Documents in the order asked for (a ranking by length)."""
-    d = _docs(spark, root).filter("n_chars IS NOT NULL").select("doc_id", "n_chars")
-    return d.orderBy(F.desc("n_chars"), "doc_id").limit(50)
-
-
 def documents_in_order(spark: SparkSession, root: str) -> DataFrame:
     """All documents in their own order."""
     return journal.ordered(_docs(spark, root), None, "external_id", "doc_id")
@@ -304,8 +292,8 @@ def answer_accuracy(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     doc_keys, text_normalized, html_features, top_tags, token_containment, pair_verdicts, discard_census, coherence_scores, manifest_violations, duplicate_keys, duplicate_digests, byte_integrity,
-    table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_ascii, levenshtein_code_points, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
-    journal_lines, journal_done, journal_repeated, journal_contradictions, manifest_json, requested_order, documents_in_order, requested_documents, inherited_documents, span_verdicts, conformance, egress_offenders, vocabulary_drift, answer_accuracy,
+    table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_code_points, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
+    journal_lines, journal_done, journal_repeated, journal_contradictions, manifest_json, documents_in_order, requested_documents, inherited_documents, span_verdicts, conformance, egress_offenders, vocabulary_drift, answer_accuracy,
 )}
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(nfc_normalize(text), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'), '\p{Cf}', '', 'g'), '[\p{Cc}\p{Zs}\p{Zl}\p{Zp}]', ' ', 'g'), ' +', ' ', 'g'))"
@@ -313,8 +301,8 @@ _P = "WITH p AS (SELECT external_id, first(text ORDER BY doc_id) AS pdf, last(te
 _V = _P + ", v AS (SELECT k.external_id, CASE WHEN xml IS NULL THEN 'sin_xml' WHEN pdf IS NULL THEN 'sin_pdf' WHEN len(tx) = 0 THEN 'xml_sin_texto' WHEN len(tp) = 0 THEN 'pdf_sin_texto' WHEN shared / tokens < 0.85 THEN 'incoherente' END AS causa FROM k LEFT JOIN c USING (external_id)) "
 _GRID = """WITH c AS (SELECT external_id, tabla, celda AS i, "row" AS r, col AS c, rowspan AS rs, colspan AS cs FROM (SELECT *, row_number() OVER (PARTITION BY external_id, tabla, celda ORDER BY leido_en DESC NULLS LAST, "row" DESC NULLS LAST, col DESC NULLS LAST, rowspan DESC NULLS LAST, colspan DESC NULLS LAST) AS rn FROM celdas_pdf)
   WHERE rn = 1 AND "row" IS NOT NULL AND col IS NOT NULL AND rowspan IS NOT NULL AND colspan IS NOT NULL),
-t AS (SELECT external_id, tabla, max(r) + 1 AS n, max(c) + 1 AS m, tabla % 7 AS p1, tabla % 5 AS p2, tabla % 4 <> 3 AS ex, CASE WHEN tabla % 6 = 5 THEN 'docx' WHEN tabla % 6 = 4 THEN 'text' ELSE 'html' END AS f FROM c WHERE r >= 0 AND c >= 0 AND r < 5000 AND c < 5000 GROUP BY external_id, tabla),
-s AS (SELECT * FROM t WHERE n::BIGINT * m <= 1000000)"""
+t AS (SELECT external_id, tabla, max(r)::BIGINT + 1 AS n, max(c)::BIGINT + 1 AS m, tabla % 7 AS p1, tabla % 5 AS p2, tabla % 4 <> 3 AS ex, CASE WHEN tabla % 6 = 5 THEN 'docx' WHEN tabla % 6 = 4 THEN 'text' ELSE 'html' END AS f FROM c WHERE r >= 0 AND c >= 0 GROUP BY external_id, tabla),
+s AS (SELECT * FROM t WHERE n::HUGEINT * m <= 1000000)"""
 _POS = """, q AS (SELECT c.external_id, c.tabla, i, unnest(range(greatest(r, 0), least(r::BIGINT + rs, n))) AS pr, range(greatest(c.c, 0), least(c.c::BIGINT + cs, m)) AS pcs FROM {} c JOIN s USING (external_id, tabla)),
 pos AS (SELECT external_id, tabla, i, pr::INT AS r, unnest(pcs)::INT AS c FROM q)"""
 _FIND = _GRID + """, j AS (SELECT c.*, n, m, CASE WHEN r < 0 OR c.c < 0 THEN 'POSICION_NEGATIVA' WHEN rs < 1 OR cs < 1 THEN 'SPAN_MENOR_QUE_UNO' WHEN r::BIGINT + rs > n OR c.c::BIGINT + cs > m THEN 'SPAN_FUERA_DE_RANGO' END AS code FROM c JOIN s USING (external_id, tabla)),
@@ -325,7 +313,7 @@ cov AS (SELECT DISTINCT external_id, tabla, r, c FROM pos),
 cell AS (SELECT external_id, tabla, x.r::INT AS r, y.c::INT AS c FROM ok, LATERAL (SELECT unnest(range(0, n)) AS r) x, LATERAL (SELECT unnest(range(0, m)) AS c) y),
 st AS (SELECT cell.*, cov.r IS NOT NULL AS used, coalesce((SELECT max(c) FROM good WHERE good.external_id = cell.external_id AND good.tabla = cell.tabla AND good.r = cell.r), -1) AS rgt FROM cell LEFT JOIN cov ON cov.external_id = cell.external_id AND cov.tabla = cell.tabla AND cov.r = cell.r AND cov.c = cell.c),
 ln AS (SELECT external_id, tabla, r, bool_or(used) AS any_used, bool_or(NOT used AND c < rgt) AS inner_, bool_or(NOT used AND c >= rgt) AS tail FROM st GROUP BY ALL),
-fd AS (SELECT external_id, tabla, 'AREA_EXCESIVA' AS code, '' AS place FROM t WHERE n::BIGINT * m > 1000000
+fd AS (SELECT external_id, tabla, 'AREA_EXCESIVA' AS code, '' AS place FROM t WHERE n::HUGEINT * m > 1000000
 UNION ALL SELECT external_id, tabla, 'SOURCE_FORMAT_DESCONOCIDO', '' FROM s WHERE f = 'docx'
 UNION ALL SELECT external_id, tabla, 'PAGE_SPAN_INVALIDO', '' FROM s WHERE p1 < 1 OR p2 < p1
 UNION ALL SELECT external_id, tabla, 'EXPRESSES_SPANS_IMPOSIBLE', '' FROM s JOIN g USING (external_id, tabla) WHERE sp AND NOT ex
@@ -358,7 +346,6 @@ SELECT doc_id, n_tables, n_images, len(sp) AS n_spans, coalesce(list_max(sp), 1)
     "derived_truth": _FIND + f" SELECT t.external_id, t.tabla, x.l IS NULL AS kept, coalesce(x.l, '') AS fatal FROM t LEFT JOIN (SELECT external_id, tabla, string_agg(code, ',' ORDER BY code) AS l FROM (SELECT DISTINCT external_id, tabla, code FROM fd WHERE code IN {_FATAL}) GROUP BY ALL) x ON x.external_id = t.external_id AND x.tabla = t.tabla",
     "grid_holes": _GRID + _POS.format("c") + " SELECT s.external_id, s.tabla, x.r::INT AS r, y.c::INT AS c FROM s, LATERAL (SELECT unnest(range(0, n)) AS r) x, LATERAL (SELECT unnest(range(0, m)) AS c) y WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.external_id = s.external_id AND pos.tabla = s.tabla AND pos.r = x.r AND pos.c = y.c)",
     "grid_overlaps": _GRID + _POS.format("c") + " SELECT external_id, tabla, i AS cell_idx, r, c, f AS first_idx FROM (SELECT *, row_number() OVER w AS k, first_value(i) OVER w AS f FROM pos WINDOW w AS (PARTITION BY external_id, tabla, r, c ORDER BY i)) WHERE k > 1",
-    "levenshtein_ascii": r"SELECT DISTINCT correccion_id, levenshtein(puse, el_pdf_dice) AS distancia, round(levenshtein(puse, el_pdf_dice) / greatest(length(puse), length(el_pdf_dice)), 6) AS relativa FROM correcciones WHERE regexp_full_match(puse, '[\x20-\x7e]+') AND regexp_full_match(el_pdf_dice, '[\x20-\x7e]+')",
     "code_points": "SELECT DISTINCT correccion_id, list_aggregate(list_transform(regexp_extract_all(puse, '(?s).'), lambda x: 'U+' || printf('%04X', unicode(x))), 'string_agg', ' ') AS puntos FROM correcciones",
     "locale_figures": "SELECT DISTINCT medicion_id, coalesce(translate(format('{:,.2f}', (paginas * 1234)::DOUBLE), ',.', '.,'), 'n/a') AS cifra, left(sha256(error), 12) AS huella FROM humo",
     "short_dates": "SELECT day(published_on) || ' ' || ['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sep', 'oct', 'nov', 'dic'][month(published_on)] || ' ' || year(published_on) AS dia, count(*) AS n FROM documents WHERE published_on IS NOT NULL GROUP BY 1",
@@ -372,7 +359,6 @@ SELECT doc_id, n_tables, n_images, len(sp) AS n_spans, coalesce(list_max(sp), 1)
     "journal_repeated": _JN + "SELECT extractor_id AS k0, fixture AS k1, count(*) AS n FROM r GROUP BY ALL HAVING count(*) > 1",
     "journal_contradictions": _JN + "SELECT extractor_id, 'failed without a reason' AS why, count(*) AS n FROM r WHERE error <> '' AND medicion_id % 2 = 1 GROUP BY extractor_id",
     "manifest_json": """SELECT doc_id, '{"doc_id":' || doc_id || ',"external_id":"' || external_id || '","fecha":' || coalesce('"' || published_on || '"', 'null') || ',"lang":' || coalesce('"' || lang || '"', 'null') || '}' AS json FROM documents""",
-    "requested_order": "SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 50",
     "documents_in_order": "SELECT * REPLACE (fetched_at::TIMESTAMP AS fetched_at) FROM documents ORDER BY doc_id",
     "requested_documents": "SELECT d.* REPLACE (d.fetched_at::TIMESTAMP AS fetched_at) FROM (SELECT DISTINCT id, elegido_en FROM elegidos) e JOIN documents d ON d.external_id = e.id ORDER BY e.elegido_en, e.id, d.doc_id",
     "inherited_documents": "SELECT CASE WHEN id IN (SELECT external_id FROM seleccion) AND id IN (SELECT external_id FROM documents WHERE text IS NOT NULL) THEN 'heredado' ELSE 'pedir' END AS state, count(*) AS n FROM (SELECT DISTINCT id FROM elegidos) GROUP BY 1",
