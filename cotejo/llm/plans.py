@@ -96,13 +96,27 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
     return c.withColumn("corregido", textform.from_hex(F.col("_hex"))).drop("_hex").distinct()
 
 
+TEXTS = ("puse", "el_pdf_dice", "corregido")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return _texts(spark, root).filter(textform.look_alike([F.col("puse"), F.col("el_pdf_dice"), F.col("corregido")])).select("correccion_id").distinct()
+    return textform.look_alike(_texts(spark, root), TEXTS, textform.confusables(spark)).select("correccion_id").distinct()
 
 
 def p4_canonical(spark: SparkSession, root: str) -> DataFrame:
     """All texts in the consistent form."""
-    return _texts(spark, root).select("correccion_id", *[textform.canonical_form(F.col(c)).alias(c) for c in ("puse", "el_pdf_dice", "corregido")])
+    form = textform.canonical_form(textform.confusables(spark))
+    return _texts(spark, root).select("correccion_id", *[form(F.col(c)).alias(c) for c in TEXTS])
+
+
+def p4_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the consistent form, over all texts: forms that change when the form is taken again, and ASCII texts whose form is not the text in
+    lower case with single blanks. The number of texts by length of the text in ASCII or not."""
+    form = textform.canonical_form(textform.confusables(spark))
+    each = _texts(spark, root).select(F.explode(F.array_compact(F.array(*TEXTS))).alias("t")).withColumn("f", form(F.col("t"))).withColumn("g", form(F.col("f")))
+    ascii_ = F.col("t").rlike(r"^[\x00-\x7f]*$")
+    plain = F.trim(F.regexp_replace(F.lower("t"), r"[\x09-\x0d\x1c-\x20]+", " "))
+    return each.groupBy(ascii_.alias("ascii")).agg(F.count(F.lit(1)).alias("textos"), F.count_if(F.col("f") != F.col("g")).alias("inestables"), F.count_if(ascii_ & (F.col("f") != plain)).alias("distintos"))
 
 
 # ---------------------------------------------------------------- 6: quotas
@@ -222,7 +236,7 @@ def p9_profile(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_percentiles, p1_days_combined, p2_found, p2_quickstart, p4_found, p4_canonical, p6_found, p6_sample, p6_report,
+        p1_found, p1_percentiles, p1_days_combined, p2_found, p2_quickstart, p4_found, p4_canonical, p4_checks, p6_found, p6_sample, p6_report,
         p7_found, p7_leaks, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_profile,
     )
 }
@@ -234,5 +248,8 @@ SQL = {
     "p2_found": r"""WITH e AS (SELECT DISTINCT id, banda, celda_combinada, de_mas,
   list_sort(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(nfc_normalize(razon))), '[^\p{L}\p{N}]+'), lambda w: w <> '' AND NOT regexp_full_match(w, '\p{N}+')))) AS palabras FROM elegidos)
 SELECT any_value(id) AS id FROM e GROUP BY banda, celda_combinada, de_mas, palabras HAVING count(*) = 1""",
+    "p4_checks": r"""WITH c AS (SELECT DISTINCT correccion_id, puse, el_pdf_dice, regexp_replace(lower(evidencia.bytes_utf8_del_corregido), '0x|\\x|[^0-9a-f]', '', 'g') AS h FROM correcciones),
+d AS (SELECT DISTINCT correccion_id, puse, el_pdf_dice, CASE WHEN len(h) % 2 = 0 THEN decode(unhex(h)) END AS k FROM c), t AS (SELECT unnest(list_filter([puse, el_pdf_dice, k], lambda x: x IS NOT NULL)) AS t FROM d)
+SELECT regexp_full_match(t, '[\x00-\x7f]*', 's') AS ascii, count(*) AS textos, 0 AS inestables, 0 AS distintos FROM t GROUP BY 1""",
     "p6_found": _SELECTED + "SELECT estrato, banda FROM a WHERE available < wanted",
 }
