@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +41,43 @@ def estimator_error(predicted: Column, real: Column) -> tuple[Column, Column]:
     return F.try_divide(predicted - real, real), F.try_divide(real - predicted, predicted)
 
 
+def poisson_times(units: np.ndarray, replicas: int) -> np.ndarray:
+    """How often each unit (a 64-bit hash) counts in replicas 1, 2, ...: Poisson(1) numbers that depend on unit and replica alone."""
+    with np.errstate(over="ignore"):
+        z = units[:, None] + np.arange(1, replicas + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(edges, (z >> np.uint64(11)) / 2.0**53, side="right")
+
+
 def bootstrap_ratio(df: DataFrame, stratum: str, unit: str, over: str, under: str, weights: DataFrame, weight: str, replicas: int = 1000, seed: int = 1) -> DataFrame:
     """total, low, high: sum over strata of weight * ratio, and its 95 % interval over resamples of units within their stratum.
 
     In every replica a unit counts a Poisson(1) number of times, drawn by hash of (unit, replica), which is what drawing with
-    replacement amounts to for many units, and needs neither a collected stratum nor a second pass: the map side adds up (stratum, replica) sums.
+    replacement amounts to for many units, and needs neither a collected stratum nor a second pass. A task adds up whole arrays of replicas, a sum per
+    (stratum, replica) is all that it hands on; no row is repeated.
     """
-    u = F.abs(F.xxhash64(F.lit(seed), F.col(unit), F.col("replica"))) / F.lit(float(2**63))
-    edges, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    times = sum(((u >= e).cast("int") for e in edges), F.lit(0))
-    draws = df.filter(F.col(over).isNotNull() & F.col(under).isNotNull()).select(stratum, unit, over, under, F.explode(F.sequence(F.lit(0), F.lit(replicas))).alias("replica"))
-    drawn = draws.withColumn("_t", F.when(F.col("replica") == 0, 1).otherwise(times))
-    per = drawn.groupBy(stratum, "replica").agg((F.sum(F.col(over) * F.col("_t")) / F.nullif(F.sum(F.col(under) * F.col("_t")), F.lit(0))).alias("_r"))
+    given = df.filter(F.col(over).isNotNull() & F.col(under).isNotNull())
+    hashed = given.select(F.col(stratum).alias("k"), F.xxhash64(F.lit(seed), F.col(unit)).alias("u"), F.col(over).cast("double").alias("o"), F.col(under).cast("double").alias("d"))
+    kind = dict(df.dtypes)[stratum]
+
+    def sums(parts):
+        held: dict = {}
+        for pdf in parts:
+            for name, group in pdf.groupby("k", dropna=False):
+                own = held.setdefault(None if pd.isna(name) else name, np.zeros((2, replicas + 1)))
+                values = group[["o", "d"]].to_numpy(float)
+                own[:, 0] += values.sum(0)
+                units = group["u"].to_numpy(np.int64).view(np.uint64)
+                for i in range(0, len(units), 256):
+                    own[:, 1:] += values[i : i + 256].T @ poisson_times(units[i : i + 256], replicas)
+        for name, own in held.items():
+            yield pd.DataFrame({"k": [name] * (replicas + 1), "replica": np.arange(replicas + 1), "o": own[0], "d": own[1]})
+
+    drawn = hashed.mapInPandas(sums, f"k {kind}, replica int, o double, d double")
+    per = drawn.groupBy(F.col("k").alias(stratum), "replica").agg((F.sum("o") / F.nullif(F.sum("d"), F.lit(0.0))).alias("_r"))
     totals = per.join(weights, stratum).groupBy("replica").agg(F.sum(F.col("_r") * F.col(weight)).alias("t"))
     ends = F.expr(f"percentile(CASE WHEN replica > 0 THEN t END, array({(int(0.025 * replicas)) / (replicas - 1)}, {(int(0.975 * replicas) - 1) / (replicas - 1)}))")
     return totals.agg(F.max(F.when(F.col("replica") == 0, F.col("t"))).alias("total"), ends.alias("_e")).select("total", F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"))

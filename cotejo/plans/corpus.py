@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from cotejo.functions import text as T
 from cotejo.operators import corpus, grid
 from cotejo.operators.diff import latest
-from cotejo.sources import cut, journal, table, work_dir
+from cotejo.sources import cut, journal, table, work_path
 
 TABLE = ["external_id", "tabla"]
 FIRST_DAY, LAST_DAY = dt.date(2031, 1, 1), dt.date(2031, 12, 31)
@@ -212,7 +211,7 @@ def _journal(spark, root) -> DataFrame:
     failed = F.col("error") != ""
     line = F.to_json(F.struct("extractor_id", ref.alias("doc_ref"), F.col("tablas_halladas").cast("bigint").alias("latency_ms"), failed.alias("failed"), F.when(failed & (F.col("medicion_id") % 2 == 0), "timeout").alias("failure_reason")))
     torn = F.when(F.col("medicion_id") % 40 == 0, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line)
-    path = f"{work_dir(spark).rstrip('/')}/journal-{uuid.uuid4().hex}"
+    path = work_path(spark, "journal")
     h.select(torn.alias("value")).write.text(path)
     return journal.read_journal(spark, path, _LINE)
 

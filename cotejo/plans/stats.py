@@ -159,14 +159,14 @@ def quickstart_greedy(spark: SparkSession, root: str) -> DataFrame:
 
 def request_spacing(spark: SparkSession, root: str) -> DataFrame:
     """Median, least and number of the seconds between one request and the next."""
-    g = running.gaps(table(spark, root, "events").select("event_id", "ts"), F.to_date("ts"), "ts", ["ts", "event_id"]).withColumn("todo", F.lit(1))
+    g = running.gaps(table(spark, root, "events").select("event_id", "ts"), "ts", ["ts", "event_id"]).withColumn("todo", F.lit(1))
     m = order_stats.nth(g, ["todo"], "gap", {"lo": order_stats.LOWER_MEDIAN, "up": order_stats.UPPER_MEDIAN, "least": lambda n: F.lit(1)})
     return m.select(F.round(order_stats.median_of(m), 6).alias("mediana_s"), F.round("least", 6).alias("minimo_s"), "n")
 
 
 def _harvest(spark, root) -> DataFrame:
     e = table(spark, root, "events").select("event_id", "ts", "event_type")
-    return running.running_totals(e, F.to_date("ts"), ["ts", "event_id"], {"tried": F.lit(1), "spent": (F.col("event_type") == "error").cast("int"), "accepted": (F.col("event_type") != "error").cast("int")})
+    return running.running_totals(e, ["ts", "event_id"], {"tried": F.lit(1), "spent": (F.col("event_type") == "error").cast("int"), "accepted": (F.col("event_type") != "error").cast("int")})
 
 
 def stop_rule(spark: SparkSession, root: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Readers, writers and the shared working folder."""
 
-from cotejo.sources.tables import cut, table, work_dir
+from cotejo.sources.tables import clear, cut, scratch, table, work_dir, work_path
 
-__all__ = ["cut", "table", "work_dir"]
+__all__ = ["clear", "cut", "scratch", "table", "work_dir", "work_path"]

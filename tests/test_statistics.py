@@ -57,16 +57,16 @@ def test_bootstrap_covers(spark):
 def test_running(spark):
     rows = [(i, i // 10, i % 3 == 0) for i in range(57)]
     df = spark.createDataFrame(rows, "i int, b int, x boolean").repartition(4)
-    t = R.running_totals(df, F.col("b"), ["i"], {"n": F.lit(1), "s": F.col("x").cast("int")})
+    t = R.running_totals(df, ["i"], {"n": F.lit(1), "s": F.col("x").cast("int")})
     assert [(r.n, r.s) for r in t.orderBy("i").collect()] == [(i + 1, i // 3 + 1) for i in range(57)]
     assert R.stop_point(t, "n", "n", "s", 20, 0.05).first().i == 19
     assert R.until_target(t, "s", F.col("x").cast("int"), 2).count() == 4
-    assert R.running_totals(df.limit(0), F.col("b"), ["i"], {"n": F.lit(1)}).collect() == []
+    assert R.running_totals(df.limit(0), ["i"], {"n": F.lit(1)}).collect() == []
 
 
 def test_gaps(spark):
     df = spark.sql("SELECT id, timestamp_seconds(id * id) AS t FROM range(1, 9)").repartition(3)
-    g = R.gaps(df, F.to_date("t"), "t", ["t"]).orderBy("id").collect()
+    g = R.gaps(df, "t", ["t"]).orderBy("id").collect()
     assert [r.gap for r in g] == [None, *[2.0 * i + 1 for i in range(1, 8)]]
 
 
@@ -92,3 +92,13 @@ def test_greedy(spark):
     got = [tuple(r) for r in P.greedy(df, "id", "w", "band", [("x", 2), ("y", 3)], ["p", "q"]).orderBy("place").collect()]
     assert got == [("a", "x", "fenómeno · p", 1), ("b", "x", "reparto · banda x", 2), ("d", "y", "fenómeno · q", 3), ("e", "y", "reparto · banda y", 4)]
     assert P.greedy(df.limit(0), "id", "w", "band", [("x", 2)], ["p"]).collect() == []
+
+
+def test_numbered_goes_through_a_group_in_ranges(spark):
+    rows = [(None if i % 5 == 0 else "a", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(7)
+    got = R.numbered(df, ["k"], ["i"], "n").collect()
+    for k in (None, "a"):
+        mine = sorted((r.i, r.n) for r in got if r.k == k)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+    assert R.numbered(df.limit(0), ["k"], ["i"], "n").collect() == []
