@@ -76,17 +76,40 @@ QUICKSTART = 200
 
 def _candidates(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "elegidos").select("id", "razon", *SCALARS)
-    return variety.grouped(e.withColumn("palabras", textform.word_set("razon")), "id", "palabras", SCALARS)
+    return e.withColumn("palabras", textform.word_set("razon"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return _candidates(spark, root).filter("n_alike = 1").select("id")
+    return variety.alone(_candidates(spark, root), "id", "palabras", SCALARS).select("id")
+
+
+def _quickstart(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    groups = cut(variety.grouped(_candidates(spark, root), "id", "palabras", SCALARS), "groups")
+    return groups, variety.subset(groups, "id", "palabras", SCALARS, QUICKSTART)
 
 
 def p2_quickstart(spark: SparkSession, root: str) -> DataFrame:
     """The quickstart set, with the cluster each candidate stands for."""
-    groups = cut(_candidates(spark, root), "groups")
-    return variety.subset(groups, "id", "palabras", SCALARS, QUICKSTART)
+    return _quickstart(spark, root)[1]
+
+
+def p2_quotas(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the quickstart set: its size, candidates that come twice or that `elegidos` lacks, clusters whose number is not their quota, and types of a cluster
+    that give two fewer than another that has no more left to give than they."""
+    groups, got = _quickstart(spark, root)
+    sizes = {r["cluster"]: r["n"] for r in groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = variety.quotas(sizes, QUICKSTART)
+    features = ["cluster", "palabras", *SCALARS]
+    chosen = got.groupBy(*features).agg(F.count(F.lit(1)).alias("took"))
+    on = [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}")) for x in features]
+    types = groups.select(*features, "n_alike").distinct().alias("a").join(chosen.alias("b"), on, "left").select("a.cluster", "a.n_alike", F.coalesce("b.took", F.lit(0)).alias("took"))
+    per = types.groupBy("cluster").agg(F.sum("took").alias("took"), F.max("took").alias("most"), F.min(F.when(F.col("took") < F.col("n_alike"), F.col("took"))).alias("least"))
+    off = F.col("took") != (F.create_map(*[F.lit(x) for c, n in share.items() for x in (c, n)])[F.col("cluster")] if share else F.lit(0))
+    kept = per.agg(F.count_if(off).alias("fuera_de_cuota"), F.count_if(F.col("most") - F.col("least") > 1).alias("desiguales"))
+    known = table(spark, root, "elegidos").select("id").distinct()
+    ids = got.groupBy("id", *features).agg(F.count(F.lit(1)).alias("n"))
+    whole = ids.join(known.withColumn("_known", F.lit(1)), "id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("elegidos"), F.count_if(F.col("n") > 1).alias("repetidos"), F.count_if(F.col("_known").isNull()).alias("ajenos"))
+    return whole.join(kept)
 
 
 # ---------------------------------------------------------------- 4: look-alike texts
@@ -236,7 +259,7 @@ def p9_profile(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_percentiles, p1_days_combined, p2_found, p2_quickstart, p4_found, p4_canonical, p4_checks, p6_found, p6_sample, p6_report,
+        p1_found, p1_percentiles, p1_days_combined, p2_found, p2_quickstart, p2_quotas, p4_found, p4_canonical, p4_checks, p6_found, p6_sample, p6_report,
         p7_found, p7_leaks, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_profile,
     )
 }
@@ -248,6 +271,7 @@ SQL = {
     "p2_found": r"""WITH e AS (SELECT DISTINCT id, banda, celda_combinada, de_mas,
   list_sort(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(nfc_normalize(razon))), '[^\p{L}\p{N}]+'), lambda w: w <> '' AND NOT regexp_full_match(w, '\p{N}+')))) AS palabras FROM elegidos)
 SELECT any_value(id) AS id FROM e GROUP BY banda, celda_combinada, de_mas, palabras HAVING count(*) = 1""",
+    "p2_quotas": f"SELECT least({QUICKSTART}, (SELECT count(*) FROM (SELECT DISTINCT id, razon, banda, celda_combinada, de_mas FROM elegidos))) AS elegidos, 0 AS repetidos, 0 AS ajenos, 0 AS fuera_de_cuota, 0 AS desiguales",
     "p4_checks": r"""WITH c AS (SELECT DISTINCT correccion_id, puse, el_pdf_dice, regexp_replace(lower(evidencia.bytes_utf8_del_corregido), '0x|\\x|[^0-9a-f]', '', 'g') AS h FROM correcciones),
 d AS (SELECT DISTINCT correccion_id, puse, el_pdf_dice, CASE WHEN len(h) % 2 = 0 THEN decode(unhex(h)) END AS k FROM c), t AS (SELECT unnest(list_filter([puse, el_pdf_dice, k], lambda x: x IS NOT NULL)) AS t FROM d)
 SELECT regexp_full_match(t, '[\x00-\x7f]*', 's') AS ascii, count(*) AS textos, 0 AS inestables, 0 AS distintos FROM t GROUP BY 1""",
