@@ -1,4 +1,9 @@
-"""A mix of sources with target shares of all tokens, and a limit on how often a document is used."""
+"""A mix of sources with target shares of all tokens, and a limit on how often a document is used.
+
+Shares are tempered: between the target shares (exponent 0) and the sources' own shares of the tokens (exponent 1) lie the shares
+target ** (1 - e) * own ** e, normalised. With equal targets these are the sources' own shares raised to e. The exponent is found by bisection: the
+least one whose shares a limit allows, or one whose shares have a given entropy.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ import math
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +22,6 @@ from cotejo.sources import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how a public byte-level vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are cut here, at the last blank before, so that no text makes the tokenizer slow.
-PIECE = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -33,13 +37,7 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
     """Tokens of a text; none in a null or empty one."""
     if not text:
         return 0
-    n, encode = 0, _encoder(path).encode_ordinary
-    while len(text) > PIECE:
-        at = text.rfind(" ", PIECE // 2, PIECE)
-        at = PIECE if at < 0 else at
-        n += len(encode(text[:at]))
-        text = text[at:]
-    return n + len(encode(text))
+    return len(_encoder(path).encode_ordinary(text))
 
 
 def token_counter(path: str = VOCABULARY) -> Callable:
@@ -52,97 +50,151 @@ def token_counter(path: str = VOCABULARY) -> Callable:
     return tokens
 
 
-def tempered(sizes: dict, exponent: float) -> dict:
-    """Shares in proportion to size ** exponent; a size of 0 has no share. 1 leaves the sizes' own shares, 0 makes all equal."""
-    top = max(sizes.values(), default=0)
-    raw = {k: (v / top) ** exponent if v > 0 else 0.0 for k, v in sizes.items()}
-    total = sum(raw.values())
-    return {k: v / total if total else 0.0 for k, v in raw.items()}
+def tempered(own: np.ndarray, exponent: float, target: np.ndarray | None = None) -> np.ndarray:
+    """Shares in proportion to target ** (1 - exponent) * own ** exponent; without target all targets are equal. A source with nothing of its own, or no target, has no share."""
+    own = np.asarray(own, dtype=float)
+    target = np.ones_like(own) if target is None else np.asarray(target, dtype=float)
+    some = (own > 0) & (target > 0)
+    raw = np.zeros_like(own)
+    if some.any():
+        logs = (1 - exponent) * np.log(target[some]) + exponent * np.log(own[some])
+        raw[some] = np.exp(logs - logs.max())
+    total = raw.sum()
+    return raw / total if total else raw
 
 
-def entropy(shares: dict) -> float:
-    return -sum(p * math.log(p) for p in shares.values() if p > 0)
+def entropy(shares: np.ndarray) -> float:
+    p = np.asarray(shares, dtype=float)
+    p = p[p > 0]
+    return float(-(p * np.log(p)).sum())
 
 
-def exponent_for(sizes: dict, test: Callable[[dict], bool], steps: int = 60) -> float:
+def exponent_for(own: np.ndarray, test: Callable[[np.ndarray], bool], target: np.ndarray | None = None, steps: int = 60) -> float:
     """The least exponent in [0, 1] whose shares pass `test`, by bisection; test must hold from some exponent on. 1 if none below passes."""
     low, high = 0.0, 1.0
-    if test(tempered(sizes, 0.0)):
+    if test(tempered(own, 0.0, target)):
         return 0.0
     for _ in range(steps):
         mid = (low + high) / 2
-        low, high = (low, mid) if test(tempered(sizes, mid)) else (mid, high)
+        low, high = (low, mid) if test(tempered(own, mid, target)) else (mid, high)
     return high
 
 
-def exponent_for_entropy(sizes: dict, target: float) -> float:
-    """Exponent whose shares have an entropy of at most `target` (it falls as the exponent rises)."""
-    return exponent_for(sizes, lambda w: entropy(w) <= target)
+def exponent_for_entropy(own: np.ndarray, wanted: float) -> float:
+    """Exponent whose shares have an entropy of at most `wanted` (it falls as the exponent rises)."""
+    return exponent_for(own, lambda w: entropy(w) <= wanted)
 
 
-def exponent_for_repeats(sizes: dict, size: float, repeats: dict) -> float:
+def exponent_for_repeats(own: np.ndarray, size: float, repeats: np.ndarray, target: np.ndarray | None = None) -> float:
     """Exponent from which no source is used more than `repeats` times in a mix of `size`."""
-    return exponent_for(sizes, lambda w: all(w[k] * size <= repeats[k] * sizes[k] * (1 + 1e-12) for k in sizes))
+    own, repeats = np.asarray(own, dtype=float), np.asarray(repeats, dtype=float)
+    return exponent_for(own, lambda w: bool(np.all(w * size <= repeats * own * (1 + 1e-12))), target)
 
 
-def budgets(sizes: dict, targets: dict, repeats: dict, size: float) -> dict:
-    """Tokens to take of each source for a mix of `size`.
+def own_exponents(own: np.ndarray, target: np.ndarray, repeats: np.ndarray, size: float, steps: int = 60) -> np.ndarray:
+    """For each source alone: how far the targets must be tempered towards the sources' own shares until the source can give its share of a mix of `size`.
 
-    A source that can reach its target share gets it; another gets all it may give: repeats * size of the source. What these leave over is
-    given to the sources that still have room, by tempered shares of their tokens, with the least exponent at which none passes its limit,
-    in rounds if even their own shares pass it. A mix that all limits together do not fill is smaller than `size`.
+    0 for a source that reaches its target; 1 for one that could not even give its own share, or has nothing. All sources are bisected at once; the shares' common
+    divisor is read off a grid of exponents.
     """
-    limit = {k: sizes.get(k, 0) * repeats[k] for k in targets}
-    out = {k: min(targets[k] * size, limit[k]) for k in targets}
-    wanted = sum(targets.values()) * size
-    for _ in range(len(out) + 1):
-        missing = wanted - sum(out.values())
-        room = {k: limit[k] - out[k] for k in out if limit[k] - out[k] > 1e-9 * size}
-        if missing <= 1e-9 * size or not room:
-            break
-        base = {k: float(sizes[k]) for k in room}
-        e = exponent_for(base, lambda w: all(w[k] * missing <= room[k] for k in room))  # noqa: B023
-        for k, w in tempered(base, e).items():
-            out[k] += min(room[k], w * missing)
+    own, target, repeats = (np.asarray(x, dtype=float) for x in (own, target, repeats))
+    out = np.zeros(len(own))
+    short = repeats * own < target * size
+    out[short & (own <= 0)] = 1.0
+    at = np.flatnonzero(short & (own > 0))
+    some = (own > 0) & (target > 0)
+    if len(at):
+        grid = np.linspace(0, 1, 1025)
+        lt, lo = np.log(target[some]), np.log(own[some])
+        logs = np.array([np.logaddexp.reduce((1 - e) * lt + e * lo) for e in grid])
+        wanted = lambda e: (1 - e) * np.log(target[at]) + e * np.log(own[at]) - np.interp(e, grid, logs) + math.log(size)
+        most = np.log(np.maximum(repeats[at] * own[at], 1e-300))
+        low, high = np.zeros(len(at)), np.ones(len(at))
+        for _ in range(steps):
+            mid = (low + high) / 2
+            fits = wanted(mid) <= most
+            low, high = np.where(fits, low, mid), np.where(fits, mid, high)
+        out[at] = high
     return out
 
 
-def source_table(sized: DataFrame, targets: DataFrame, source: str, tokens: str, target: str, repeats: str, size: float | None = None) -> list[dict]:
-    """A record per row of targets: source, tokens, target, repeats, wanted, reachable, budget.
+def budgets(own: np.ndarray, target: np.ndarray, repeats: np.ndarray, size: float) -> np.ndarray:
+    """Tokens to take of each source for a mix of `size`.
+
+    A source whose exponent (see own_exponents) is 0 gets its target; another gets all it may give: repeats * size of the source. What these leave over is
+    given to the sources that still have room, by tempered shares of their tokens, with the least exponent at which none passes its limit; if
+    even their own shares pass it, each is filled up in proportion to its tokens as far as its limit goes. A mix that all limits together do not fill is smaller than `size`.
+    """
+    own, target, repeats = (np.asarray(x, dtype=float) for x in (own, target, repeats))
+    limit = own * repeats
+    out = np.where(own_exponents(own, target, repeats, size) > 0, limit, np.minimum(target * size, limit))
+    missing = target.sum() * size - out.sum()
+    room = np.where(limit - out > 1e-9 * size, limit - out, 0.0)
+    if missing <= 1e-9 * size or not room.any():
+        return out
+    if missing >= room.sum():
+        return out + room
+    base = np.where(room > 0, own, 0.0)
+    shares = tempered(base, exponent_for(base, lambda w: bool(np.all(w * missing <= room))))
+    if np.all(shares * missing <= room * (1 + 1e-12)):
+        return out + np.minimum(shares * missing, room)
+    # Filled up to a common multiple of the tokens: sources whose room ends before it stop there.
+    ratio = np.divide(room, base, out=np.zeros(len(base)), where=base > 0)
+    order = np.argsort(ratio)
+    full = np.cumsum(room[order]) - room[order]
+    rest = np.cumsum(base[order][::-1])[::-1]
+    level = np.divide(missing - full, rest, out=np.full(len(base), np.inf), where=rest > 0)
+    k = np.flatnonzero((level <= ratio[order]) & (rest > 0))
+    return out + (np.minimum(room, level[k[0]] * base) if len(k) else room)
+
+
+PLAN = "source string, tokens bigint, target double, repeats int, wanted double, exponent double, reachable boolean, budget double"
+
+
+def source_plan(sized: DataFrame, targets: DataFrame, source: str, tokens: str, target: str, repeats: str, size: float | None = None) -> DataFrame:
+    """A row per source of targets, the columns of PLAN, written once.
 
     `sized` has documents with their source (spelt as in targets) and tokens; documents of null source count for nothing, those of other sources count for
-    the size of the corpus, which is the mix's size unless `size` is given. targets must be small (at most 100,000 rows).
+    the size of the corpus, which is the mix's size unless `size` is given. A source listed twice has its larger target and limit. exponent is the source's own (see own_exponents);
+    reachable says exactly whether repeats * tokens is enough for the target. The plan is worked out in one task, from one row per source however many documents there
+    are: some ten million sources a GB.
     """
-    rows = targets.select(source, target, repeats).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 sources")
-    per = sized.filter(F.col(source).isNotNull()).groupBy(source).agg(F.sum(tokens).alias("t"))
-    total = per.agg(F.sum("t")).first()[0] or 0
-    got = {r[source]: r["t"] for r in per.join(F.broadcast(targets.select(source)), source, "left_semi").collect()}
-    size = float(total if size is None else size)
-    aims = {r[source]: float(r[target] or 0) for r in rows}
-    most = {r[source]: int(r[repeats] or 0) for r in rows}
-    plan = budgets(got, aims, most, size)
-    return [
-        {"source": k, "tokens": got.get(k, 0), "target": aims[k], "repeats": most[k], "wanted": aims[k] * size, "reachable": most[k] * got.get(k, 0) >= aims[k] * size, "budget": float(plan[k])}
-        for k in aims
-    ]
-
-
-def mix(sized: DataFrame, plan: list[dict], doc_id: str, source: str, tokens: str, seed: int = 5, blocks: int = 1024) -> DataFrame:
-    """The documents of the mix: doc_id, source, tokens, copies INT (1 or more).
+    per = sized.filter(F.col(source).isNotNull()).groupBy(source).agg(F.sum(tokens).cast("bigint").alias("_t"))
+    total = per.agg(F.sum("_t")).first()[0] or 0
+    whole = float(total if size is None else size)
+    aims = targets.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.max(target), F.lit(0.0)).cast("double").alias("target"), F.coalesce(F.max(repeats), F.lit(0)).cast("int").alias("repeats"))
+    have = aims.join(per.select(F.col(source).alias("source"), "_t"), "source", "left").select("source", F.coalesce("_t", F.lit(0)).alias("tokens"), "target", "repeats")
+
+    def work(parts):
+        got = [p for p in parts if len(p)]
+        if got:
+            p = pd.concat(got, ignore_index=True).sort_values("source", ignore_index=True)
+            own, aim, most = p["tokens"].to_numpy(float), p["target"].to_numpy(float), p["repeats"].to_numpy(float)
+            p["wanted"] = aim * whole
+            p["exponent"] = own_exponents(own, aim, most, whole)
+            p["reachable"] = most * own >= p["wanted"].to_numpy()
+            p["budget"] = budgets(own, aim, most, whole)
+            yield p
+
+    return cut(have.coalesce(1).mapInPandas(work, PLAN), "plan")
+
+
+def mix(sized: DataFrame, plan: DataFrame, doc_id: str, source: str, tokens: str, seed: int = 5, together: int = 20_000) -> DataFrame:
+    """The documents of the mix: doc_id, source, tokens, copies INT (1 or more). plan: as of source_plan.
 
     A source is gone through in whole passes and one last part of a pass. For the part, its documents stand in an order drawn by hash, cut into
-    blocks: whole blocks are taken while they fit, and only in the block where the budget ends is it filled document by document. So no task ever sorts a
-    source, and a source's tokens miss its budget by less than one document. Documents without tokens are left out.
+    blocks of about `together` documents: whole blocks are taken while they fit, and only in the block where the budget ends is it filled document by document. So no task ever
+    sorts a source, and a source's tokens miss its budget by less than one document. Documents without tokens are left out.
     """
-    spark = sized.sparkSession
-    want = spark.createDataFrame(
-        [(p["source"], int(p["budget"] // p["tokens"]), float(p["budget"] - p["tokens"] * (p["budget"] // p["tokens"]))) for p in plan if p["tokens"] and p["budget"] > 0],
-        "_source string, _passes int, _rest double",
-    )
+    passes = F.floor(F.col("budget") / F.col("tokens"))
+    want = plan.filter("tokens > 0 AND budget > 0").select(F.col("source").alias("_source"), passes.cast("int").alias("_passes"), (F.col("budget") - F.col("tokens") * passes).alias("_rest"))
+    counted = sized.filter(F.col(tokens) > 0)
+    many = counted.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("_docs"))
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("_docs") / together)), F.lit(0)), F.lit(24)).cast("int")
+    want = want.join(many, "_source").withColumn("_bits", bits).drop("_docs")
     draw = F.xxhash64(F.lit(seed), F.col(doc_id))
-    docs = sized.filter(F.col(tokens) > 0).join(F.broadcast(want), F.col(source) == F.col("_source")).withColumn("_draw", draw).withColumn("_block", F.pmod(F.shiftright("_draw", 20), F.lit(blocks)).cast("int"))
+    block = F.when(F.col("_bits") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftright(_draw, 64 - _bits)"))
+    docs = counted.join(want, F.col(source) == F.col("_source")).withColumn("_draw", draw).withColumn("_block", block)
     per_block = docs.groupBy("_source", "_block").agg(F.sum(tokens).alias("_sum"), F.max("_rest").alias("_limit"))
     upto = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     state = per_block.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,31 @@ def measurements(spark: SparkSession, root: str, day: bool = False) -> DataFrame
     return runs.unionAll(smoke).unionAll(costs).filter("x >= 0 AND NOT isnan(x)")
 
 
+LIMITS = {"on": ["fuente", "clave"], "limit": "techo", "percent": "percentil"}
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    limits = table(spark, root, "techos").select("fuente", "clave", "percentil", "techo")
-    return quantiles.above(measurements(spark, root).join(limits, ["fuente", "clave"]), GROUP, "x", "techo", "percentil")
+    return quantiles.above(cut(measurements(spark, root), "measurements"), GROUP, "x", table(spark, root, "techos"), **LIMITS)
+
+
+def p1_told(spark: SparkSession, root: str) -> DataFrame:
+    """How many groups the sketch settles, above and not above, and how many it leaves to the second pass, by source."""
+    c = quantiles.compared(quantiles.sketch(measurements(spark, root), GROUP, "x"), GROUP, table(spark, root, "techos"), **LIMITS)
+    return c.groupBy("fuente").agg(F.count_if("above").alias("por_encima"), F.count_if(~F.col("above")).alias("no"), F.count_if(F.col("above").isNull()).alias("en_duda"))
+
+
+def p1_bound(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the percentiles keep their bound, told by counting all values: the value of the percentile's rank must lie within 1 % of what the sketch gives."""
+    m = cut(measurements(spark, root), "measurements")
+    p = quantiles.percentiles(quantiles.sketch(m, GROUP, "x"), GROUP, PERCENTS)
+    wide = p.groupBy(*[F.col(k).alias(f"_{k}") for k in GROUP]).agg(*[F.max(F.when(F.col("percent") == q, F.col("value"))).alias(f"v{q}") for q in PERCENTS])
+    x, a = F.col("x"), quantiles.ALPHA
+    counts = m.join(wide, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GROUP]).groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(x <= F.col(f"v{q}") / (1 - a) * (1 + 1e-9)).alias(f"hi{q}") for q in PERCENTS], *[F.count_if(x < F.col(f"v{q}") / (1 + a) * (1 - 1e-9)).alias(f"lo{q}") for q in PERCENTS]
+    )
+    kept = lambda q: (F.col(f"hi{q}") >= quantiles.rank(F.lit(q), F.col("n"))) & (F.col(f"lo{q}") < quantiles.rank(F.lit(q), F.col("n")))
+    each = F.array(*[F.struct(F.lit(float(q)).alias("percentil"), kept(q).alias("dentro")) for q in PERCENTS])
+    return counts.select(*GROUP, "n", F.inline(each))
 
 
 def p1_percentiles(spark: SparkSession, root: str) -> DataFrame:
@@ -162,7 +185,8 @@ def _quota_sample(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return _quota_sample(spark, root)[1].filter("short AND drawn < wanted").select("estrato", "banda")
+    # All there are were drawn, and that is less than was wanted.
+    return _quota_sample(spark, root)[1].filter("drawn = available AND drawn < wanted").select("estrato", "banda")
 
 
 def p6_sample(spark: SparkSession, root: str) -> DataFrame:
@@ -174,6 +198,18 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return _quota_sample(spark, root)[1]
 
 
+def p6_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The report without what depends on the draw: what each quota wanted and had, whether the number drawn is off by less than one, records that came twice and
+    records that are of another category."""
+    sample, report = _quota_sample(spark, root)
+    back = selection(spark, root).select("external_id", "tabla", F.col("estrato").alias("_e"), F.col("banda").alias("_b"))
+    each = sample.groupBy("estrato", "banda", "external_id", "tabla").agg(F.count(F.lit(1)).alias("_n")).join(back, ["external_id", "tabla"], "left")
+    faults = each.groupBy("estrato", "banda").agg(F.count_if(F.col("_n") > 1).alias("_twice"), F.count_if(~(F.col("_e").eqNullSafe(F.col("estrato")) & F.col("_b").eqNullSafe(F.col("banda")))).alias("_other"))
+    near = F.abs(F.col("drawn") - F.least("wanted", "available")) < 1
+    zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).alias(n)
+    return report.join(faults, ["estrato", "banda"], "left").select("estrato", "banda", "available", F.round("wanted", 6).alias("wanted"), "short", near.alias("near"), zero("_twice", "twice"), zero("_other", "other"))
+
+
 _SELECTED = r"""WITH l AS (SELECT external_id, tabla, trim(regexp_replace(lower(estrato), '[^\p{L}]+', '-', 'g'), '-') AS estrato,
   CASE WHEN n_pages BETWEEN 1 AND 4 THEN 'corto' WHEN n_pages BETWEEN 5 AND 12 THEN 'medio' WHEN n_pages >= 13 THEN 'largo' ELSE trim(regexp_replace(lower(banda), '[^\p{L}]+', '-', 'g'), '-') END AS banda
   FROM (SELECT *, row_number() OVER (PARTITION BY external_id, tabla ORDER BY elegido_en DESC NULLS LAST, estrato DESC NULLS LAST, banda DESC NULLS LAST, n_pages DESC NULLS LAST) AS rn FROM seleccion) WHERE rn = 1),
@@ -205,21 +241,15 @@ def _source(c: str) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}]+", "_"), F.lit("_"))
 
 
-def _mix_plan(spark: SparkSession, root: str) -> tuple[DataFrame, list[dict]]:
+def _mix_plan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, root, "documents").select("doc_id", _source("source").alias("source"), "text")
     sized = mixing.sized_documents(d, "doc_id", "source", "text")
-    return sized, mixing.source_table(sized, table(spark, root, "mezcla"), "source", "tokens", "peso_objetivo", "max_repeticiones")
-
-
-_PLAN = "source string, tokens bigint, target double, repeats int, wanted double, reachable boolean, budget double"
-
-
-def _plan_rows(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(p[k.split()[0]] for k in _PLAN.split(", ")) for p in plan], _PLAN)
+    return sized, mixing.source_plan(sized, table(spark, root, "mezcla"), "source", "tokens", "peso_objetivo", "max_repeticiones")
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    return _plan_rows(spark, _mix_plan(spark, root)[1]).filter("NOT reachable").select("source")
+    # A source whose targets must be tempered cannot reach its own; the exact comparison follows.
+    return _mix_plan(spark, root)[1].filter("exponent > 0").filter("NOT reachable").select("source")
 
 
 def p8_mix(spark: SparkSession, root: str) -> DataFrame:
@@ -228,12 +258,39 @@ def p8_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(sized, plan, "doc_id", "source", "tokens")
 
 
+def _used(spark: SparkSession, root: str) -> DataFrame:
+    sized, plan = _mix_plan(spark, root)
+    used = mixing.mix(sized, plan, "doc_id", "source", "tokens").groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"), F.max("tokens").alias("_longest"))
+    return plan.join(used, "source", "left").fillna(0, ["used", "most_copies"])
+
+
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     """Target share, budget and share really reached, by source."""
-    sized, plan = _mix_plan(spark, root)
-    used = mixing.mix(sized, plan, "doc_id", "source", "tokens").groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
+    used = cut(_used(spark, root), "used")
     whole = used.agg(F.sum("used")).first()[0] or 0
-    return _plan_rows(spark, plan).join(used, "source", "left").select("source", "tokens", "target", "repeats", "budget", "reachable", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (F.coalesce("used", F.lit(0)) / F.lit(float(max(whole, 1)))).alias("share"))
+    return used.select("source", "tokens", "target", "repeats", F.round("exponent", 6).alias("exponent"), "budget", "reachable", "used", "most_copies", (F.col("used") / F.lit(float(max(whole, 1)))).alias("share"))
+
+
+def p8_kept(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the mix, by source: no document too often, tokens within a document of the budget, the target met where it can be, and no more than there is where not."""
+    used = _used(spark, root)
+    near = (F.col("used") <= F.col("budget")) & (F.col("budget") - F.col("used") < F.greatest(F.col("_longest"), F.lit(1)) + F.lit(1e-6)) | (F.col("budget") == 0)
+    aim = F.when(F.col("reachable"), F.col("budget") >= F.col("wanted") * (1 - 1e-9)).otherwise(F.abs(F.col("budget") - F.col("repeats") * F.col("tokens")) < 1)
+    return used.select("source", (F.col("most_copies") <= F.col("repeats")).alias("repeticiones"), near.alias("presupuesto"), aim.alias("objetivo"), (F.col("reachable") == (F.col("exponent") == 0)).alias("exponente"))
+
+
+def p8_tempered(spark: SparkSession, root: str) -> DataFrame:
+    """The sources' own shares tempered to the entropy that the target shares have, and the targets tempered as far as all limits ask; a row per source."""
+    plan = _mix_plan(spark, root)[1]
+
+    def work(parts):
+        for p in parts:
+            own, aim, most = (p[c].to_numpy(float) for c in ("tokens", "target", "repeats"))
+            even = mixing.exponent_for_entropy(own, mixing.entropy(aim))
+            far = mixing.exponent_for_repeats(own, float(own.sum()), most, aim)
+            yield pd.DataFrame({"source": p["source"], "by_entropy": mixing.tempered(own, even), "entropy_exponent": even, "by_limits": mixing.tempered(own, far, aim), "limits_exponent": far})
+
+    return plan.coalesce(1).mapInPandas(work, "source string, by_entropy double, entropy_exponent double, by_limits double, limits_exponent double")
 
 
 # ---------------------------------------------------------------- 9: reading level
@@ -259,13 +316,18 @@ def p9_profile(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_percentiles, p1_days_combined, p2_found, p2_quickstart, p2_quotas, p4_found, p4_canonical, p4_checks, p6_found, p6_sample, p6_report,
-        p7_found, p7_leaks, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_profile,
+        p1_found, p1_told, p1_bound, p1_percentiles, p1_days_combined, p2_found, p2_quickstart, p2_quotas, p4_found, p4_canonical, p4_checks, p6_found, p6_sample, p6_report, p6_kept,
+        p7_found, p7_leaks, p7_items, p8_found, p8_mix, p8_shares, p8_kept, p8_tempered, p9_found, p9_levels, p9_profile,
     )
 }
 
 SQL = {
     "p1_found": _MEASURED + "SELECT fuente, clave, subclave FROM v JOIN techos USING (fuente, clave) GROUP BY fuente, clave, subclave, percentil, techo HAVING count(*) FILTER (x <= techo) < greatest(1, ceil(percentil * count(*) / 100.0 - 1e-9))",
+    "p1_told": _MEASURED + f""", l AS (SELECT fuente, clave, subclave, list_sort(list(x)) AS l, count(*) AS n FROM v GROUP BY ALL),
+g AS (SELECT fuente, techo, l[greatest(1, ceil(percentil * n / 100.0 - 1e-9))::BIGINT] AS q FROM l JOIN techos USING (fuente, clave)),
+b AS (SELECT *, CASE WHEN q > 0 THEN exp((ceil(ln(q) / {math.log(_G)!r}) - 1) * {math.log(_G)!r}) ELSE 0 END AS low, CASE WHEN q > 0 THEN exp(ceil(ln(q) / {math.log(_G)!r}) * {math.log(_G)!r}) ELSE 0 END AS high FROM g)
+SELECT fuente, count(*) FILTER (low > techo * (1 + 1e-9)) AS por_encima, count(*) FILTER (high < techo * (1 - 1e-9)) AS "no", count(*) FILTER (low <= techo * (1 + 1e-9) AND high >= techo * (1 - 1e-9)) AS en_duda FROM b GROUP BY fuente""",
+    "p1_bound": _MEASURED + "SELECT fuente, clave, subclave, n, unnest([50.0, 90.0, 95.0, 99.0])::DOUBLE AS percentil, true AS dentro FROM (SELECT fuente, clave, subclave, count(*) AS n FROM v GROUP BY ALL)",
     "p1_percentiles": _BUCKETS,
     "p1_days_combined": _BUCKETS,
     "p2_found": r"""WITH e AS (SELECT DISTINCT id, banda, celda_combinada, de_mas,
@@ -275,5 +337,7 @@ SELECT any_value(id) AS id FROM e GROUP BY banda, celda_combinada, de_mas, palab
     "p4_checks": r"""WITH c AS (SELECT DISTINCT correccion_id, puse, el_pdf_dice, regexp_replace(lower(evidencia.bytes_utf8_del_corregido), '0x|\\x|[^0-9a-f]', '', 'g') AS h FROM correcciones),
 d AS (SELECT DISTINCT correccion_id, puse, el_pdf_dice, CASE WHEN len(h) % 2 = 0 THEN decode(unhex(h)) END AS k FROM c), t AS (SELECT unnest(list_filter([puse, el_pdf_dice, k], lambda x: x IS NOT NULL)) AS t FROM d)
 SELECT regexp_full_match(t, '[\x00-\x7f]*', 's') AS ascii, count(*) AS textos, 0 AS inestables, 0 AS distintos FROM t GROUP BY 1""",
+    "p8_kept": "SELECT source, true AS repeticiones, true AS presupuesto, true AS objetivo, true AS exponente FROM mezcla",
+    "p6_kept": _SELECTED + "SELECT estrato, banda, available, round(wanted, 6) AS wanted, available < wanted AS short, true AS near, 0 AS twice, 0 AS other FROM a",
     "p6_found": _SELECTED + "SELECT estrato, banda FROM a WHERE available < wanted",
 }

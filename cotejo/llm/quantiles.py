@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cotejo.sources import cut
+
 ALPHA = 0.01
 
 
@@ -29,8 +31,14 @@ def bucket(x: Column, alpha: float = ALPHA) -> Column:
     return F.when(x == 0, 0).otherwise(F.ceil(F.log(F.abs(x)) / math.log(growth(alpha)))).cast("int")
 
 
-def sketch(df: DataFrame, keys: Sequence[str], value: str, alpha: float = ALPHA, extra: Sequence[Column] = ()) -> DataFrame:
-    """Counts by `keys`, sign TINYINT and bucket INT: n BIGINT, and the aggregates `extra`.
+def measured(df: DataFrame, value: str) -> DataFrame:
+    """The rows that have a finite number."""
+    x = F.col(value).cast("double")
+    return df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+
+
+def sketch(df: DataFrame, keys: Sequence[str], value: str, alpha: float = ALPHA) -> DataFrame:
+    """Counts by `keys`, sign TINYINT and bucket INT: n BIGINT.
 
     Null, NaN and infinite values are no measurements and leave no trace; negative ones count on their side. A null
     key is a group of its own. An empty table gives an empty sketch. Map tasks add up buckets before
@@ -38,8 +46,7 @@ def sketch(df: DataFrame, keys: Sequence[str], value: str, alpha: float = ALPHA,
     group that holds a third of all rows costs no more than another.
     """
     x = F.col(value).cast("double")
-    kept = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return kept.groupBy(*keys, F.signum(x).cast("tinyint").alias("sign"), bucket(x, alpha).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *extra)
+    return measured(df, value).groupBy(*keys, F.signum(x).cast("tinyint").alias("sign"), bucket(x, alpha).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(sketches: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -56,12 +63,11 @@ def rank(percent: Column, n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(percent * n / 100 - F.lit(1e-9)))
 
 
-def located(sk: DataFrame, keys: Sequence[str], percents: Column, totals: Sequence[str] = ()) -> DataFrame:
-    """The bucket of each percentile: `keys`, percent, rank, rows, sign, bucket, and `totals`
-    summed over the group. percents: an array column."""
+def located(sk: DataFrame, keys: Sequence[str], percents: Column) -> DataFrame:
+    """The bucket of each percentile: the sketch's columns, percent, rank and rows. percents: an array column."""
     group = Window.partitionBy(*keys)
     upto = group.orderBy("sign", F.col("sign") * F.col("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = sk.select("*", F.sum("n").over(upto).alias("_to"), F.sum("n").over(group).alias("rows"), *[F.sum(t).over(group).alias(f"all_{t}") for t in totals])
+    counted = sk.select("*", F.sum("n").over(upto).alias("_to"), F.sum("n").over(group).alias("rows"))
     each = counted.select("*", F.explode(percents).alias("percent")).withColumn("rank", rank(F.col("percent"), F.col("rows")))
     return each.filter((F.col("_to") >= F.col("rank")) & (F.col("_to") - F.col("n") < F.col("rank")))
 
@@ -74,21 +80,32 @@ def percentiles(sk: DataFrame, keys: Sequence[str], percents: Sequence[float], a
     return at.select(*keys, "percent", "rows", F.when(F.col("sign") == 0, 0.0).otherwise(value).alias("value"))
 
 
-def above(df: DataFrame, keys: Sequence[str], value: str, limit: str, percent: str, alpha: float = ALPHA) -> DataFrame:
-    """The groups whose percentile lies above a limit: `keys`. limit and percent are columns, constant in a group.
+def compared(sk: DataFrame, keys: Sequence[str], limits: DataFrame, on: Sequence[str], limit: str, percent: str, alpha: float = ALPHA) -> DataFrame:
+    """What a sketch says of a percentile and a limit: `keys`, limit, percent, rank BIGINT, above BOOLEAN.
 
-    The sketch decides where the percentile's bucket lies wholly on one side of the limit;
-    where the limit is inside it, the exact number of values up to the limit, which the same pass
-    counted, decides. So the answer is that of the nearest-rank percentile. A group without values, or
-    with a null limit, is not above.
+    limits has a limit and a percent for each value of its columns `on`, which are among the keys. above is null where the limit lies inside the percentile's bucket, which
+    is where the sketch cannot tell. A group without values has no row, a null limit or percent is no limit.
     """
     g = math.log(growth(alpha))
-    at_most = F.sum((F.col(value) <= F.col(limit)).cast("long")).alias("up_to")
-    sk = sketch(df, [*keys, limit, percent], value, alpha, [at_most])
-    at = located(sk.withColumnRenamed(percent, "_p"), [*keys, limit], F.array(F.col("_p").cast("double")), ["up_to"])
+    given = limits.select(*on, F.col(limit).alias("_limit"), F.col(percent).alias("_percent")).distinct().filter("_limit IS NOT NULL AND _percent IS NOT NULL")
+    at = located(sk.join(given, list(on)), [*keys, "_limit", "_percent"], F.array(F.col("_percent").cast("double")))
     outer, inner = F.exp(F.col("bucket") * g), F.exp((F.col("bucket") - 1) * g)
     low = F.when(F.col("sign") > 0, inner).when(F.col("sign") < 0, -outer).otherwise(0.0)
     high = F.when(F.col("sign") > 0, outer).when(F.col("sign") < 0, -inner).otherwise(0.0)
-    slack = F.abs(F.col(limit)) * 1e-9
-    clear = F.when(low - slack > F.col(limit), True).when(high + slack < F.col(limit), False)
-    return at.filter(F.coalesce(clear, F.col("all_up_to") < F.col("rank"))).select(*keys)
+    slack = F.abs(F.col("_limit")) * 1e-9
+    told = F.when(low - slack > F.col("_limit"), True).when(high + slack < F.col("_limit"), False)
+    return at.select(*keys, F.col("_limit").alias(limit), F.col("_percent").alias(percent), "rank", told.alias("above"))
+
+
+def above(df: DataFrame, keys: Sequence[str], value: str, limits: DataFrame, on: Sequence[str], limit: str, percent: str, alpha: float = ALPHA) -> DataFrame:
+    """The groups whose percentile lies above a limit: `keys` (see compared for limits).
+
+    The sketch decides. Only groups whose limit it cannot tell from the percentile are gone through a second time, and there the number of values up to the limit
+    decides, so the answer is that of the nearest-rank percentile. `df` is read twice; write it first if it is dear. A group without values, or with a null limit, is not above.
+    """
+    seen = cut(compared(sketch(df, keys, value, alpha), keys, limits, on, limit, percent, alpha), "compared")
+    narrow = seen.filter("above IS NULL").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(limit).alias("_limit"), F.col(percent).alias("_percent"), F.col("rank").alias("_rank"))
+    # A value of a group in doubt is looked up among few groups; null keys are groups too.
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    counts = measured(df, value).join(narrow, same).groupBy(*keys, "_limit", "_percent", "_rank").agg(F.count_if(F.col(value) <= F.col("_limit")).alias("_up_to"))
+    return seen.filter("above").select(*keys).unionAll(counts.filter("_up_to < _rank").select(*keys))

@@ -26,15 +26,24 @@ def test_error_bound_and_merging(spark):
 
 
 def test_limit_inside_a_bucket_is_decided_exactly(spark):
-    rows = [("a", float(x), lim, 50) for x in range(1000, 1011) for lim in (1004.0, 1005.0, 1005.5)]
-    df = spark.createDataFrame(rows, "k string, x double, lim double, p int").selectExpr("concat(k, lim) k", "x", "lim", "p")
-    assert {r.k for r in Q.above(df, ["k"], "x", "lim", "p").collect()} == {"a1004.0"}
+    values = spark.createDataFrame([(k, float(x)) for k in ("a", "b", "c", "far", "low") for x in range(1000, 1011)] + [("a", None), ("a", float("nan"))], "k string, x double")
+    limits = spark.createDataFrame([("a", 1004.0, 50), ("b", 1005.0, 50), ("c", 1005.5, 50), ("far", 900.0, 50), ("low", 2000.0, 50), ("none", 1.0, 50), ("a", None, 50), ("far", 900.0, 50)], "k string, lim double, p int")
+    seen = Q.compared(Q.sketch(values, ["k"], "x"), ["k"], limits, ["k"], "lim", "p")
+    assert {r.k: r.above for r in seen.collect()} == {"a": None, "b": None, "c": None, "far": True, "low": False}
+    assert sorted(r.k for r in Q.above(values, ["k"], "x", limits, ["k"], "lim", "p").collect()) == ["a", "far"]
+
+
+def test_null_subkey_is_a_group_in_both_passes(spark):
+    values = spark.createDataFrame([("a", None, float(x)) for x in range(1000, 1011)] + [("a", "s", 1.0)], "k string, s string, x double")
+    limits = spark.createDataFrame([("a", 1004.0, 50)], "k string, lim double, p int")
+    assert [(r.k, r.s) for r in Q.above(values, ["k", "s"], "x", limits, ["k"], "lim", "p").collect()] == [("a", None)]
 
 
 def test_empty(spark):
-    df = spark.createDataFrame([], "k string, x double, lim double, p int")
+    df = spark.createDataFrame([], "k string, x double")
+    limits = spark.createDataFrame([("a", 1.0, 50)], "k string, lim double, p int")
     assert Q.percentiles(Q.sketch(df, ["k"], "x"), ["k"], [50]).collect() == []
-    assert Q.above(df, ["k"], "x", "lim", "p").collect() == []
+    assert Q.above(df, ["k"], "x", limits, ["k"], "lim", "p").collect() == []
 
 
 def test_hot_group_and_ties(spark):
