@@ -1,15 +1,16 @@
 """From markup to cells on a grid.
 
-Every source format is first read as a stream of events, `SECTION`, `ROW` or a `Cell`; `lay_out`
-turns a stream into placed cells. A table is a plain dict that fits `TABLE_TYPE`.
+Every source format is first read into row groups, lists of rows of `Cell`; `lay_out`
+places their cells on one grid. A table is a plain dict that fits `TABLE_TYPE`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import string
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.text import clean_cell
 
-SECTION, ROW = "section", "row"
 # The HTML standard's limits for spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 # Elements that set their text apart by a space.
@@ -33,56 +33,86 @@ TABLE_TYPE = (
 )
 
 
-class Cell(NamedTuple):
-    text: str
+@dataclass
+class Cell:
+    text: str = ""
     header: bool = False
     rowspan: int = 1
     colspan: int = 1
 
 
-def lay_out(events: Iterable, source_format: str, caption: str | None = None) -> dict:
+@dataclass
+class Group:
+    """Rows that belong together; `ended` says that the markup ends the group before the table's end."""
+
+    rows: list[list[Cell]] = field(default_factory=list)
+    head: bool = False
+    ended: bool = False
+
+
+class _Skyline:
+    """What hangs down into the rows below: stretches of columns, in order and apart, each with the first row that is free under it (None: not before the group ends)."""
+
+    def __init__(self) -> None:
+        self.stretches: list[tuple[int, int, int | None]] = []
+
+    def free(self, col: int, row: int) -> int:
+        """The first column from `col` on that is free in `row`."""
+        for first, after, until in self.stretches:
+            if first <= col < after and (until is None or until > row):
+                col = after
+        return col
+
+    def cover(self, first: int, after: int, until: int | None) -> None:
+        """Puts a cell on its columns. Where it lies over another the last one counts, but one without end stays."""
+        kept, gaps = [], [(first, after)]
+        for s in self.stretches:
+            a, b, end = s
+            if b <= first or a >= after:
+                kept.append(s)
+            elif end is None:
+                kept.append(s)
+                gaps = [g for x, y in gaps for g in ((x, min(y, a)), (max(x, b), y)) if g[0] < g[1]]
+            else:
+                kept += [(x, y, end) for x, y in ((a, first), (after, b)) if x < y]
+        self.stretches = sorted([*kept, *((x, y, until) for x, y in gaps)], key=lambda s: s[0])
+
+    def end_group(self, row: int) -> None:
+        self.stretches = [(a, b, row if end is None else end) for a, b, end in self.stretches]
+
+    def lowest(self) -> int:
+        return max((end for _, _, end in self.stretches if end is not None), default=0)
+
+
+def lay_out(groups: Sequence[Group], source_format: str, caption: str | None = None) -> dict:
     """Places cells as a browser does.
 
-    A cell goes to the first column at or after the last cell's end whose positions above are
-    free; only that column is looked at, so later ones may overlap. A rowspan of 0 reaches to the end of its section; what hangs out of a section
-    pushes the next one down, at the end of the table it doesn't. n_rows counts rows seen, n_cols is the reach of the cells.
+    A cell goes to the first column at or after the last cell's end whose position is free;
+    only that column is looked at, so later ones may overlap. A rowspan of 0 reaches to the end of its group; what hangs out of a group
+    that has ended pushes the next one down, at the end of the table it doesn't. n_rows counts rows seen, n_cols is the reach of the cells.
     """
     cells: list[dict] = []
-    free_from: dict[int, float] = {}  # first free row of a column; infinite below a cell that reaches to the section's end
-    endless: list[dict] = []
-    row, col = -1, 0
-
-    def settle() -> None:
+    sky, row = _Skyline(), 0
+    for group in groups:
+        endless = []
+        for line in group.rows:
+            col = 0
+            for c in line:
+                col = sky.free(col, row)
+                wide, tall = min(max(c.colspan, 1), MOST_COLUMNS), min(max(c.rowspan, 1), MOST_ROWS)
+                cells.append({"row": row, "col": col, "rowspan": tall, "colspan": wide, "text": c.text, "is_header": c.header})
+                if c.rowspan == 0:
+                    endless.append(cells[-1])
+                sky.cover(col, col + wide, None if c.rowspan == 0 else row + tall)
+                col += wide
+            row += 1
         for c in endless:
-            c["rowspan"] = row - c["row"] + 1
-            free_from.update({k: row + 1 for k in range(c["col"], c["col"] + c["colspan"])})
-        endless.clear()
-
-    for e in events:
-        if e == SECTION:
-            settle()
-            row = max([row, *(int(v) - 1 for v in free_from.values())])
-            continue
-        if e == ROW or row < 0:
-            row, col = row + 1, 0
-            if e == ROW:
-                continue
-        while free_from.get(col, 0) > row:
-            col += 1
-        wide = min(max(e.colspan, 1), MOST_COLUMNS)
-        tall = 1 if e.rowspan == 0 else min(max(e.rowspan, 1), MOST_ROWS)
-        cell = {"row": row, "col": col, "rowspan": tall, "colspan": wide, "text": e.text, "is_header": e.header}
-        cells.append(cell)
-        if e.rowspan == 0:
-            endless.append(cell)
-        below = float("inf") if e.rowspan == 0 else row + tall
-        for k in range(col, col + wide):
-            if free_from.get(k) != float("inf"):
-                free_from[k] = below
-        col += wide
-    settle()
+            c["rowspan"] = row - c["row"]
+        sky.end_group(row)
+        if group.ended:
+            row = max(row, sky.lowest())
     return {
-        "cells": cells, "n_rows": row + 1, "n_cols": max((c["col"] + c["colspan"] for c in cells), default=0),
+        "cells": cells, "n_rows": row, "n_cols": max((c["col"] + c["colspan"] for c in cells), default=0),
         "caption": caption or None, "expresses_spans": source_format in WITH_SPANS, "source_format": source_format,
     }
 
@@ -93,95 +123,211 @@ def span_value(raw: str | None) -> int:
     return int(raw) if re.fullmatch(r"[0-9]+", raw) else 1
 
 
-class _Tables(HTMLParser):
-    """Gathers each table's events; a table nested in a cell is one of its own, in order of opening."""
+@dataclass
+class _Node:
+    """An element of a table that is still open."""
+
+    depth: int
+    holds: object
+    pieces: list[str] | None = None
+
+
+class _HtmlTables(HTMLParser):
+    """Keeps the elements of tables that are open, the innermost last.
+
+    How deep an element lies in its table says which others its tag ends: a row ends the cell and row before it, a row group those and the group. So end tags that
+    are left out, as HTML allows, need no rules of their own. A table in a cell is a table of its own, and nothing in it ends what is around it.
+    """
+
+    DEPTH = {"table": 0, "caption": 1, "thead": 1, "tbody": 1, "tfoot": 1, "tr": 2, "td": 3, "th": 3}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.open: list[dict] = []
-
-    def _end_cell(self, t: dict) -> None:
-        if t["cell"] is not None:
-            header, rowspan, colspan, pieces = t["cell"]
-            t["events"].append(Cell(clean_cell("".join(pieces)), header, rowspan, colspan))
-            t["cell"] = None
+        self.found: list[tuple[list[Group], list[str]]] = []
+        self.path: list[_Node] = []
+
+    def end(self, depth: int) -> None:
+        while self.path and self.path[-1].depth >= max(depth, 1):
+            node = self.path.pop()
+            if isinstance(node.holds, Cell):
+                node.holds.text = clean_cell("".join(node.pieces))
+            elif isinstance(node.holds, Group):
+                node.holds.ended = True
+
+    def current(self, depth: int):
+        """The open element of that depth in the innermost table."""
+        for node in reversed(self.path):
+            if node.depth == depth:
+                return node.holds
+            if node.depth == 0:
+                return None
+
+    def group(self) -> Group:
+        groups, _ = self.current(0)
+        own = self.current(1)
+        if isinstance(own, Group):
+            return own
+        if not groups or groups[-1].ended:
+            groups.append(Group())
+        return groups[-1]
 
     def handle_starttag(self, tag, attrs):
+        depth = self.DEPTH.get(tag)
         if tag == "table":
-            t = {"events": [], "cell": None, "head": False, "caption": [], "in_caption": False}
-            self.found.append(t)
-            self.open.append(t)
-        elif self.open:
-            t = self.open[-1]
-            if tag in ("td", "th"):
-                self._end_cell(t)
-                given = dict(reversed(attrs))  # of repeated attributes the first counts
-                t["cell"] = (tag == "th" or t["head"], span_value(given.get("rowspan")), span_value(given.get("colspan")), [])
-            elif tag == "tr":
-                self._end_cell(t)
-                t["events"].append(ROW)
-            elif tag in ("thead", "tbody", "tfoot"):
-                self._end_cell(t)
-                t["events"].append(SECTION)
-                t["head"] = tag == "thead"
-            elif tag == "caption":
-                t["in_caption"] = True
-            elif tag in BLOCKS and t["cell"]:
-                t["cell"][3].append(" ")
+            self.found.append(([], []))
+            self.path.append(_Node(0, self.found[-1]))
+        elif not self.path:
+            return
+        elif depth is None:
+            self.space(tag)
+        else:
+            self.end(depth)
+            groups, caption = self.current(0)
+            if tag == "caption":
+                self.path.append(_Node(1, None, caption))
+            elif depth == 1:
+                if groups:
+                    groups[-1].ended = True
+                groups.append(Group(head=tag == "thead"))
+                self.path.append(_Node(1, groups[-1]))
+            elif depth == 2:
+                self.group().rows.append([])
+                self.path.append(_Node(2, None))
+            else:
+                group, given = self.group(), {}
+                if not group.rows:
+                    group.rows.append([])
+                for name, value in attrs:
+                    given.setdefault(name, value)
+                group.rows[-1].append(Cell("", tag == "th" or group.head, span_value(given.get("rowspan")), span_value(given.get("colspan"))))
+                self.path.append(_Node(3, group.rows[-1][-1], []))
 
     def handle_endtag(self, tag):
-        if not self.open:
+        depth = self.DEPTH.get(tag)
+        if not self.path:
             return
-        t = self.open[-1]
-        if tag in ("td", "th", "tr", "table", "thead", "tbody", "tfoot"):
-            self._end_cell(t)
         if tag == "table":
-            self.open.pop()
-        elif tag in ("thead", "tbody", "tfoot"):
-            t["events"].append(SECTION)
-            t["head"] = False
-        elif tag == "caption":
-            t["in_caption"] = False
-        elif tag in BLOCKS and t["cell"]:
-            t["cell"][3].append(" ")
+            self.close_table()
+        elif depth is None:
+            self.space(tag)
+        else:
+            self.end(depth)
+            groups = self.current(0)[0]
+            if depth == 1 and tag != "caption" and groups:  # also rows that stood in the table without a group
+                groups[-1].ended = True
+
+    def close_table(self) -> None:
+        while self.path[-1].depth:
+            node = self.path.pop()
+            if isinstance(node.holds, Cell):
+                node.holds.text = clean_cell("".join(node.pieces))
+        self.path.pop()
+
+    def space(self, tag: str) -> None:
+        if tag in BLOCKS and self.path[-1].depth == 3:
+            self.path[-1].pieces.append(" ")
 
     def handle_data(self, data):
-        if self.open:
-            t = self.open[-1]
-            if t["in_caption"]:
-                t["caption"].append(data)
-            elif t["cell"]:
-                t["cell"][3].append(data)
+        if self.path and self.path[-1].pieces is not None:
+            self.path[-1].pieces.append(data)
 
 
 def tables_from_html(text: str) -> list[dict]:
     """All tables, in order of opening; those left open end with the text."""
-    reader = _Tables()
+    reader = _HtmlTables()
     reader.feed(text)
     reader.close()
-    for t in reader.open:
-        reader._end_cell(t)
-    return [lay_out(t["events"], "html", clean_cell("".join(t["caption"]))) for t in reader.found]
+    while reader.path:
+        reader.close_table()
+    return [lay_out(groups, "html", clean_cell("".join(caption))) for groups, caption in reader.found]
 
 
-# A table's second line in Markdown, and inline marks in the order in which they are taken off.
-_DASHES = re.compile(r"^\s*\|?\s*:?-{1,}:?\s*(\|\s*:?-{1,}:?\s*)*\|?\s*$")
-_INLINE = [
-    (re.compile(r"<br\s*/?>", re.I), " "),
-    (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"`+([^`]*)`+"), r"\1"),
-    (re.compile(r"(?<!\w)(\*\*|__)(?=\S)(.+?)(?<=\S)\1(?!\w)"), r"\2"),
-    (re.compile(r"(?<![*_\w])([*_])(?=\S)([^*_]+?)(?<=\S)\1(?![*_\w])"), r"\2"),
-    (re.compile(r"\\([\\`*_{}\[\]()#+\-.!|])"), r"\1"),
-]
+class _Inline:
+    """Takes the marks off one cell of Markdown, from left to right.
+
+    Escaped punctuation and code stand as they are, a link or image is its label, a line break is a blank. Runs of * and _ are set aside until the end, where those that
+    pair up go: one can open if a word does not run into it and it does not stand before a blank, and close the other way round.
+    """
+
+    BREAK = re.compile(r"<br[ ]*/?>", re.I)
+
+    def __init__(self, raw: str):
+        self.raw = raw
+        self.out: list[str] = []
+        self.runs: list[dict] = []
+
+    def text(self) -> str:
+        at, raw = 0, self.raw
+        while at < len(raw):
+            c = raw[at]
+            if c == "\\" and raw[at + 1 : at + 2] in tuple(string.punctuation):
+                self.out.append(raw[at + 1])
+                at += 2
+            elif c == "`":
+                at = self.code(at)
+            elif c == "<" and (m := self.BREAK.match(raw, at)):
+                self.out.append(" ")
+                at = m.end()
+            elif c in "![" and (end := self.link(at)):
+                at = end
+            elif c in "*_":
+                at = self.run(at)
+            else:
+                self.out.append(c)
+                at += 1
+        self.pair()
+        return "".join(self.out)
+
+    def code(self, at: int) -> int:
+        ticks = len(self.raw[at:]) - len(self.raw[at:].lstrip("`"))
+        end = re.compile(rf"(?<!`)`{{{ticks}}}(?!`)").search(self.raw, at + ticks)
+        self.out.append(self.raw[at + ticks : end.start()] if end else "`" * ticks)
+        return end.end() if end else at + ticks
+
+    def link(self, at: int) -> int:
+        first = at + (self.raw[at] == "!")
+        close = self.raw.find("]", first)
+        if self.raw[first : first + 1] != "[" or close < 0 or self.raw[close + 1 : close + 2] != "(" or (end := self.raw.find(")", close)) < 0:
+            return 0
+        self.out.append(_Inline(self.raw[first + 1 : close]).text())
+        return end + 1
+
+    def run(self, at: int) -> int:
+        c, end = self.raw[at], at
+        while self.raw[end : end + 1] == c:
+            end += 1
+        before, after = self.raw[at - 1 : at] if at else "", self.raw[end : end + 1]
+        self.runs.append({"at": len(self.out), "c": c, "n": end - at, "opens": not before.isalnum() and after.strip() != "", "closes": not after.isalnum() and before.strip() != ""})
+        self.out.append(self.raw[at:end])
+        return end
+
+    def pair(self) -> None:
+        open_: list[dict] = []
+        for r in self.runs:
+            while r["closes"] and r["n"] and (mate := next((o for o in reversed(open_) if o["c"] == r["c"]), None)):
+                taken = 2 if min(mate["n"], r["n"]) > 1 else 1
+                mate["n"] -= taken
+                r["n"] -= taken
+                del open_[open_.index(mate) + (mate["n"] > 0) :]
+            if r["opens"] and r["n"]:
+                open_.append(r)
+        for r in self.runs:
+            self.out[r["at"]] = r["c"] * r["n"]
 
 
 def markdown_cell(raw: str) -> str:
-    for pattern, by in _INLINE:
-        raw = pattern.sub(by, raw)
-    return clean_cell(raw)
+    return clean_cell(_Inline(raw).text())
+
+
+def _columns(line: str) -> list[str]:
+    """The columns of a line with pipes; one pipe at either end is its frame."""
+    line = line.strip()
+    return line.removeprefix("|").removesuffix("|").split("|")
+
+
+def _ruling(line: str) -> bool:
+    """Whether the line under a header: dashes in every column, with colons for the alignment."""
+    return all(set(c.strip().removeprefix(":").removesuffix(":")) == {"-"} for c in _columns(line))
 
 
 def _runs(lines: Iterable, fits) -> Iterable[list]:
@@ -198,17 +344,13 @@ def _runs(lines: Iterable, fits) -> Iterable[list]:
 
 
 def _rows(rows: list[list[str]], source_format: str, header: bool) -> dict:
-    return lay_out([e for i, r in enumerate(rows) for e in (ROW, *(Cell(t, header and i == 0) for t in r))], source_format)
+    return lay_out([Group([[Cell(t, header and i == 0) for t in r] for i, r in enumerate(rows)])], source_format)
 
 
 def tables_from_markdown(text: str) -> list[dict]:
     """Pipe tables whose second line is one of dashes; short rows leave holes."""
-    out = []
-    for run in _runs(text.splitlines(), lambda s: s if "|" in s else None):
-        if _DASHES.match(run[1]):
-            cut = [re.sub(r"^\||\|$", "", s.strip()) for i, s in enumerate(run) if i != 1]
-            out.append(_rows([[markdown_cell(t) for t in s.split("|")] for s in cut], "markdown", True))
-    return out
+    runs = _runs(text.splitlines(), lambda s: s if "|" in s else None)
+    return [_rows([[markdown_cell(t) for t in _columns(s)] for s in (run[0], *run[2:])], "markdown", True) for run in runs if _ruling(run[1])]
 
 
 def tables_from_text(text: str) -> list[dict]:
@@ -229,14 +371,12 @@ def tables_from_tei(text: str) -> list[dict]:
         e.tag = e.tag.rpartition("}")[2] if isinstance(e.tag, str) else e.tag
     out = []
     for t in root.iter("table"):
-        events = []
+        group = Group()
         for r in t.findall("row"):
-            events.append(ROW)
-            for c in r.findall("cell"):
-                label = "label" in (r.get("role"), c.get("role"))
-                events.append(Cell(clean_cell("".join(c.itertext())), label, span_value(c.get("rows")), span_value(c.get("cols"))))
+            marked = [(c, "label" in (r.get("role"), c.get("role"))) for c in r.findall("cell")]
+            group.rows.append([Cell(clean_cell("".join(c.itertext())), label, span_value(c.get("rows")), span_value(c.get("cols"))) for c, label in marked])
         head = t.find("head")
-        out.append(lay_out(events, "tei", clean_cell("".join(head.itertext())) if head is not None else None))
+        out.append(lay_out([group], "tei", clean_cell("".join(head.itertext())) if head is not None else None))
     return out
 
 

@@ -36,19 +36,23 @@ def detection(per_doc: DataFrame) -> DataFrame:
     )
 
 
-def cell_scores(gold_cells: DataFrame, pred_cells: DataFrame, scored: DataFrame) -> DataFrame:
-    """extractor, doc, table_idx, hits, n_pred, n_gold, f1, accuracy of the tables of the scored (extractor, doc).
+def cell_scores(gold_cells: DataFrame, pred_cells: DataFrame, scored: DataFrame, panel: Sequence[str]) -> DataFrame:
+    """extractor, doc, table_idx, hits, n_pred, n_gold, f1, accuracy of the tables of the scored (extractor, doc), by the extractors of the panel.
 
-    Cells match as bags on position, spans and text. f1 is null if a side is empty and 0 if both have cells and none matches.
+    Cells match as bags on position, spans and text. f1 is null if a side is empty and 0 if both have cells and none matches. A true cell is moved once for the
+    whole panel, and each cell once in all: counts stand side by side, an extractor's in a column of its own. Which documents are scored is asked of the tables, not of their cells.
     """
-    pairs = scored.select("extractor", "doc")
-    gold = pairs.join(gold_cells.select("doc", "table_idx", *SIGNATURE), "doc").select(*TABLE, *SIGNATURE, F.lit(1).alias("g"), F.lit(0).alias("p"))
-    pred = pred_cells.join(pairs, ["extractor", "doc"], "left_semi").select(*TABLE, *SIGNATURE, F.lit(0).alias("g"), F.lit(1).alias("p"))
-    bags = gold.unionAll(pred).repartition(*TABLE).groupBy(*TABLE, *SIGNATURE).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    s = bags.groupBy(*TABLE).agg(F.sum(F.least("g", "p")).alias("hits"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
-    both = (F.col("n_pred") > 0) & (F.col("n_gold") > 0)
+    number = F.coalesce(*[F.when(F.col("extractor") == e, F.lit(i)) for i, e in enumerate(panel)])
+    at = ["doc", "table_idx"]
+    both = gold_cells.select(*at, *SIGNATURE, F.lit(-1).alias("_e")).unionAll(pred_cells.select(*at, *SIGNATURE, number.alias("_e")).filter("_e IS NOT NULL"))
+    bags = both.repartition(*at).groupBy(*at, *SIGNATURE).agg(F.count_if(F.col("_e") == -1).alias("_g"), *[F.count_if(F.col("_e") == i).alias(f"_p{i}") for i in range(len(panel))])
+    found = [F.sum(f"_p{i}").alias(f"_n{i}") for i in range(len(panel))]
+    sums = bags.groupBy(*at).agg(F.sum("_g").alias("n_gold"), *found, *[F.sum(F.least("_g", f"_p{i}")).alias(f"_h{i}") for i in range(len(panel))])
+    each = F.array(*[F.struct(F.lit(e).alias("extractor"), F.col(f"_h{i}").alias("hits"), F.col(f"_n{i}").alias("n_pred")) for i, e in enumerate(panel)])
+    s = sums.select(*at, "n_gold", F.inline(each)).filter("n_gold + n_pred > 0").join(scored.select("extractor", "doc").distinct(), ["extractor", "doc"], "left_semi")
+    has_both = (F.col("n_pred") > 0) & (F.col("n_gold") > 0)
     return s.select(
-        "*", F.when(both, 2 * F.col("hits") / (F.col("n_pred") + F.col("n_gold"))).alias("f1"), F.try_divide(F.col("hits"), F.col("n_gold")).alias("accuracy")
+        *TABLE, "hits", "n_pred", "n_gold", F.when(has_both, 2 * F.col("hits") / (F.col("n_pred") + F.col("n_gold"))).alias("f1"), F.try_divide(F.col("hits"), F.col("n_gold")).alias("accuracy")
     )
 
 

@@ -90,7 +90,7 @@ class Campaign:
 
     @cached_property
     def table_scores(self) -> DataFrame:
-        return scoring.cell_scores(self.gold_cells, self.pred_cells, self.counts.filter("same"))
+        return scoring.cell_scores(self.gold_cells, self.pred_cells, self.counts.filter("same"), NAMES)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -199,30 +199,54 @@ def table_ordinals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _rendered(spark, root, kind: str) -> DataFrame:
-    """doc, markup: all tables of each document in one text."""
-    c = Campaign(spark, root)
-    cells = c.gold_cells
-    t = F.col("text")
+    """doc, markup: all tables of each document in one text. A line is rendered where it lies; a document is put together in one grouping."""
+    rows = _rows(spark, root)
+    head, merged = F.col("row") == 0, (F.col("doc") % 3 == 0) & (F.col("row") == 0)
+    text = lambda i: F.col("values")[i]
+    wide = lambda i, attribute: F.when(merged, F.lit(f' {attribute}="2"')).otherwise("") if i == 0 else F.lit("")
+    sep = "\n" if kind in ("markdown", "text") else ""
     if kind == "html":
-        td = F.concat(F.when(F.col("is_header"), "<th").otherwise("<td"), F.when(F.col("colspan") > 1, F.concat(F.lit(' colspan="'), F.col("colspan").cast("string"), F.lit('"'))).otherwise(""), F.lit(">"), t, F.when(F.col("is_header"), "</th>").otherwise("</td>"))
-        before, between, after, wrap = "<tr>", "", "</tr>", (F.lit("<p>x</p><table>"), F.lit("</table>"))
+        td = lambda i: F.concat(F.when(head, "<th").otherwise("<td"), wide(i, "colspan"), F.lit(">"), text(i), F.when(head, "</th>").otherwise("</td>"))
+        before, between, after, wrap = "<tr>", "", "</tr>", ("<p>x</p><table>", "</table>")
     elif kind == "markdown":
-        td, before, between, after, wrap = t, "| ", " | ", " |", (F.lit("texto\n\n"), F.lit("\n\n"))
+        td, before, between, after, wrap = text, "| ", " | ", " |", ("texto\n\n", "\n\n")
     elif kind == "tei":
-        td = F.concat(F.lit("<cell"), F.when(F.col("colspan") > 1, F.concat(F.lit(' cols="'), F.col("colspan").cast("string"), F.lit('"'))).otherwise(""), F.when(F.col("is_header"), ' role="label"').otherwise(""), F.lit(">"), t, F.lit("</cell>"))
-        before, between, after, wrap = "<row>", "", "</row>", (F.lit("<table>"), F.lit("</table>"))
+        td = lambda i: F.concat(F.lit("<cell"), wide(i, "cols"), F.when(head, ' role="label"').otherwise(""), F.lit(">"), text(i), F.lit("</cell>"))
+        before, between, after, wrap = "<row>", "", "</row>", ("<table>", "</table>")
     else:
-        td, before, between, after, wrap = t, "", "  ", "", (F.lit("una línea\n"), F.lit("\n\n"))
-    line = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", td.alias("x")))), lambda s: s["x"]), n)
-    rows = cells.groupBy(*KEYS, "row").agg(F.concat(F.lit(before), line(between), F.lit(after)).alias("line"))
-    if kind == "markdown":
-        rows = rows.withColumn("line", F.when(F.col("row") == 0, F.concat("line", F.lit("\n|---|---|---|---|"))).otherwise(F.col("line")))
-    sep = "\n" if kind in ("markdown", "text") else ""
-    tables = rows.groupBy(*KEYS).agg(F.concat(wrap[0], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), sep), wrap[1]).alias("markup"))
-    docs = tables.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_idx", "markup"))), lambda s: s["markup"]), "").alias("markup"))
+        td, before, between, after, wrap = text, "", "  ", "", ("una línea\n", "\n\n")
+    cells = F.array_compact(F.array(td(0), F.when(~merged, td(1)), td(2), td(3)))
+    ruling = F.when(head, F.lit("\n|---|---|---|---|")).otherwise("") if kind == "markdown" else F.lit("")
+    line = F.concat(F.when(head, F.lit(wrap[0])).otherwise(""), F.lit(before), F.array_join(cells, between), F.lit(after), ruling, F.when(F.col("row") == F.col("n_rows") - 1, F.lit(wrap[1])).otherwise(F.lit(sep)))
+    lines = F.array_sort(F.collect_list(F.struct("table_idx", "row", line.alias("line"))))
+    docs = rows.groupBy("doc").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("markup"))
     return docs.withColumn("markup", F.concat(F.lit("<TEI><text>"), "markup", F.lit("</text></TEI>"))) if kind == "tei" else docs
 
 
+def html_grouped_cells(spark: SparkSession, root: str) -> DataFrame:
+    """A table for each document with a header that reaches out of its group, a body whose first cell reaches to its end, a body with a cell over another, and a foot without
+    end tags, read back: what hangs out of a group pushes the next one down."""
+    rows = _rows(spark, root).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("table_idx", "row")))
+    doc = F.col("doc").cast("string")
+    first = F.concat(F.lit('<td rowspan="0">'), doc, F.lit("</td>"))
+    line = F.concat(F.lit("<tr>"), F.when(F.col("n") == 1, first).otherwise(""), F.lit("<td>nº <b>"), F.col("values")[1], F.lit("</b></td></tr>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "")
+    over = "</tbody><tbody><tr><td>x</td><td rowspan='2'>a</td></tr><tr><td colspan=2>b</td></tr></tbody>"
+    markup = F.concat(F.lit('<table><thead><tr><th rowspan="2">k</th><th><p>h</p></th></tr></thead><tbody>'), body, F.lit(over + "<tfoot><tr><td colspan=2>total <br>"), F.first(doc), F.lit("<tr><td>"))
+    tables = tables_of(rows.groupBy("doc").agg(markup.alias("markup")), "markup", "html", ["doc"])
+    return cells_of(tables, KEYS).join(tables.select(*KEYS, "n_rows", "n_cols"), KEYS).select(*KEYS, "row", "col", "rowspan", "colspan", "text", "is_header", "n_rows", "n_cols")
+
+
+def markdown_marked_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Cells with inline marks, read back: emphasis, links, code and escapes go, marks inside words stay."""
+    rows = _rows(spark, root).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("table_idx", "row")))
+    v = lambda i: F.col("values")[i]
+    line = F.concat(F.lit("| **"), v(0), F.lit("** *y _z_* | [n "), v(1), F.lit("](u/1) ![i](x) | `c*"), v(2), F.lit("*` | "), v(3), F.lit("*2*3 \\*e\\* a_b_c<br>f |"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n")
+    markup = F.concat(F.lit("| __a__ | b | c | d |\n|:--|--:|:-:|---|\n"), lines)
+    return cells_of(tables_of(rows.groupBy("doc").agg(markup.alias("markup")), "markup", "markdown", ["doc"]), KEYS).select(*KEYS, "row", "col", "text", "is_header")
+
+
 def _roundtrip(spark: SparkSession, root: str, kind: str) -> DataFrame:
     tables = tables_of(_rendered(spark, root, kind), "markup", kind, ["doc"])
     return cells_of(tables, KEYS).select(*KEYS, "row", "col", "rowspan", "colspan", "text", "is_header")
@@ -260,7 +284,7 @@ _BACK = "SELECT doc, table_idx, \"row\", col, 1 AS rowspan, {} AS colspan, text,
 
 QUERIES = {f.__name__: f for f in (
     campaign_detection, cell_f1_by_extractor, cell_accuracy, evaluable_coverage, page_weighted_score, panel_intersections, head_to_head_delta, agreement_by_band,
-    teds_scores, grid_cells_at_all, header_prefix, grid_comparison_panel, table_ordinals,
+    teds_scores, grid_cells_at_all, header_prefix, grid_comparison_panel, table_ordinals, html_grouped_cells, markdown_marked_cells,
 )} | {f"{k}_roundtrip_cells": partial(_roundtrip, kind=k) for k in ("html", "markdown", "tei", "text")}
 
 SQL = {
@@ -280,6 +304,15 @@ FULL JOIN (SELECT extractor, doc, table_idx, "row" AS r, col AS c, 'a' AS s, tex
   ON g.extractor = p.extractor AND g.doc = p.doc AND g.table_idx = p.table_idx AND g.r = p.r AND g.c = p.c
 WHERE g.s IS DISTINCT FROM p.s OR (g.s = 'a' AND g.text IS DISTINCT FROM p.text)
 UNION ALL SELECT extractor, doc, table_idx, NULL, NULL, 'DIMENSION' FROM pt JOIN ok USING (extractor, doc) JOIN gt USING (doc, table_idx) WHERE pt.n_rows <> gt.n_rows""",
+    "html_grouped_cells": _W + """, l AS (SELECT doc, v, row_number() OVER (PARTITION BY doc ORDER BY table_idx, "row") AS n, count(*) OVER (PARTITION BY doc) AS k FROM li),
+d AS (SELECT DISTINCT doc, k FROM l), c AS (SELECT doc, k, 0 AS "row", 0 AS col, 2 AS rowspan, 1 AS colspan, 'k' AS text, true AS is_header FROM d UNION ALL SELECT doc, k, 0, 1, 1, 1, 'h', true FROM d
+UNION ALL SELECT doc, k, 2, 0, k, 1, doc::VARCHAR, false FROM d UNION ALL SELECT doc, k, 1 + n, 1, 1, 1, 'nº ' || v[2], false FROM l
+UNION ALL SELECT doc, k, 2 + k, 0, 1, 1, 'x', false FROM d UNION ALL SELECT doc, k, 2 + k, 1, 2, 1, 'a', false FROM d UNION ALL SELECT doc, k, 3 + k, 0, 1, 2, 'b', false FROM d
+UNION ALL SELECT doc, k, 4 + k, 0, 1, 2, 'total ' || doc, false FROM d UNION ALL SELECT doc, k, 5 + k, 0, 1, 1, '', false FROM d)
+SELECT doc, 0 AS table_idx, "row", col, rowspan, colspan, text, is_header, 6 + k AS n_rows, 2 AS n_cols FROM c""",
+    "markdown_marked_cells": _W + """, l AS (SELECT doc, v, row_number() OVER (PARTITION BY doc ORDER BY table_idx, "row") AS n FROM li)
+SELECT doc, 0 AS table_idx, 0 AS "row", c AS col, ['a', 'b', 'c', 'd'][c + 1] AS text, true AS is_header FROM (SELECT DISTINCT doc FROM li), (VALUES (0), (1), (2), (3)) i(c)
+UNION ALL SELECT doc, 0, n, c, [v[1] || ' y z', 'n ' || v[2] || ' i', 'c*' || v[3] || '*', v[4] || '*2*3 *e* a_b_c f'][c + 1], false FROM l, (VALUES (0), (1), (2), (3)) i(c)""",
     "table_ordinals": _W + "SELECT doc, table_idx, n_rows::INT AS n_rows, n_cols, row_number() OVER (PARTITION BY doc, n_rows ORDER BY table_idx) AS ordinal FROM gt",
     "html_roundtrip_cells": _W + _BACK.format("colspan", "is_header"),
     "tei_roundtrip_cells": _W + _BACK.format("colspan", "is_header"),

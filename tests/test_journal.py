@@ -74,11 +74,39 @@ def test_stream_stop_rule_and_windows(spark, tmp_path):
     src.mkdir()
     (src / "1.jsonl").write_text("\n".join([line("a", str(i), "timeout" if i < 3 else None) for i in range(30)]))
     stream = W.watch_journal(spark, str(src), S)
-    assert W.stop_when(stream, lambda b: b.filter("failed"), str(tmp_path / "ck")) == (30, 3, True)
+    assert W.stop_when(stream, F.col("failed"), "doc_ref.external_id", str(tmp_path / "ck")) == (20, 3, True)
     e = spark.sql("SELECT timestamp '2031-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 20) AS t, 'k' AS kind FROM range(7)")
     assert sorted(r.n for r in W.windowed_counts(e, "t", "kind").collect()) == [1, 3, 3]
 
 
+def test_stop_rule_goes_on_after_a_restart(spark, tmp_path):
+    src, ck = tmp_path / "in", str(tmp_path / "ck")
+    src.mkdir()
+    stream = W.watch_journal(spark, str(src), S, files_at_once=1)
+    go = lambda: W.stop_when(stream, F.col("failed"), "doc_ref.external_id", ck)
+    (src / "1.jsonl").write_text("\n".join([line("a", f"a{i:02}", "timeout" if i == 3 else None) for i in range(15)]))
+    assert go() == (15, 1, False) and go() == (15, 1, False)
+    (src / "2.jsonl").write_text("\n".join([line("a", f"b{i:02}", "timeout" if i == 7 else None) for i in range(15)]))
+    assert go() == (23, 2, True)  # 1 of 20 is not over 5 %, 2 of 23 is; the seven after it don't count
+    (src / "3.jsonl").write_text("\n".join([line("a", f"c{i:02}", "timeout") for i in range(9)]))
+    assert go() == (23, 2, True)
+
+
+def test_new_checkpoint_on_an_old_target(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+
+    def go(ck):
+        stream = W.watch_journal(spark, str(src), S).filter("_broken IS NULL").select("extractor_id", F.col("doc_ref.external_id").alias("doc"), "failed")
+        W.append_new(stream, ["extractor_id", "doc"], out, str(tmp_path / ck)).awaitTermination()
+        return sorted(((r.extractor_id, r.doc) for r in spark.read.parquet(out).collect()), key=str)
+
+    (src / "1.jsonl").write_text("\n".join([line("a", "1"), line("a", "1"), line(None, "1")]))
+    assert go("ck1") == [("a", "1"), (None, "1")]
+    (src / "2.jsonl").write_text("\n".join([line("a", "1"), line("b", "7"), line(None, "1")]))
+    assert go("ck2") == [("a", "1"), ("b", "7"), (None, "1")] and go("ck1") == go("ck2")
+
+
 def test_corpus_checks(spark):
     p = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "c"]), (2, [], ["a"]), (3, None, None)], "k int, l array<string>, r array<string>")
     assert {r.k: (r.shared, r.tokens, r.share) for r in C.containment(p, "k", F.col("l"), F.col("r")).collect()} == {1: (1, 3, pytest.approx(1 / 3)), 2: (0, 0, None)}

@@ -32,7 +32,7 @@ def test_counts_and_detection(spark):
 
 def test_cell_scores(spark):
     same = S.counts(gold(spark)[0], pred(spark)[0], ["a", "b"]).filter("same")
-    s = S.cell_scores(gold(spark)[1], pred(spark)[1], same)
+    s = S.cell_scores(gold(spark)[1], pred(spark)[1], same, ["a", "b"])
     got = {(r.extractor, r.doc, r.table_idx): (r.hits, r.n_pred, r.n_gold, r.f1, r.accuracy) for r in s.collect()}
     assert got[("a", 1, 0)] == (2, 2, 3, pytest.approx(0.8), pytest.approx(2 / 3))  # the second y is matched once
     assert got[("a", 2, 0)] == (0, 1, 1, 0.0, 0.0) and got[("b", 1, 1)][0] == 0 and len(got) == 5
@@ -45,7 +45,7 @@ def test_evaluable_report_and_null(spark):
     pairs = S.evaluable_pairs(g[0], p[0], c.filter("same"))
     assert rows(pairs.filter("NOT evaluable"), "extractor", "doc", "table_idx") == [("b", 1, 1)]
     truth = c.groupBy("extractor").agg(F.sum("n_gold").alias("true_tables"))
-    got = {r.extractor: r for r in S.report(S.cell_scores(g[1], p[1], c.filter("same")), pairs, truth, "f1").collect()}
+    got = {r.extractor: r for r in S.report(S.cell_scores(g[1], p[1], c.filter("same"), ["a", "b", "c"]), pairs, truth, "f1").collect()}
     assert got["a"].coverage == 0.75 and got["b"].coverage == 0.25
     assert got["c"].score is None and got["c"].documents == 0 and got["c"].coverage == 0
 
