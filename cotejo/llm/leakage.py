@@ -3,7 +3,9 @@
 A document contains an item when at least half of the item's words stand in it in unbroken runs of eight
 words or more. An item of m words with u different eight-word shingles then shares at least t = ceil(m / 2) / (8 r) of
 them with the document (r: how often the item repeats its most repeated shingle), so whatever u - t + 1 of
-them one takes, the document has one: the prefix. Taking the rarest of the corpus keeps the join small.
+them one takes, the document has one: the prefix. Taking the rarest of the corpus keeps the join small. That is the positional bound too: a first common
+shingle at place p of the item's order leaves u - p + 1 that can be common, which is fewer than t beyond the prefix; within it, one hit and the t - 1 shingles after it
+always suffice, so counting hits prunes nothing more.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def item_words(items: DataFrame, item_id: str, text: str, keep: str) -> DataFram
 
 
 def matching_runs(documents: DataFrame, doc_id: str, text: str, wanted: np.ndarray, kind: str) -> DataFrame:
-    """Longest runs of document words of which every eight in a row hash to a wanted value: doc, run ARRAY<STRING>.
+    """Longest runs of document words of which every eight in a row hash to a wanted value: doc, start INT (the place of its first word in the text), run ARRAY<STRING>.
 
     One pass over whole texts. `wanted` (sorted, bounded by PER_PASS) goes to the tasks.
     """
@@ -52,7 +54,7 @@ def matching_runs(documents: DataFrame, doc_id: str, text: str, wanted: np.ndarr
         table[(want & mask).astype(np.int64)] = True
         hashes = Hashes()
         for docs, texts in ((pdf["doc"].to_numpy()[a:b], pdf["text"].iloc[a:b]) for pdf in parts for a, b in portions(pdf["text"])):
-            found = ([], [])
+            found = ([], [], [])
             words, ends = [], []
             for t in texts:
                 if t is not None:
@@ -70,10 +72,11 @@ def matching_runs(documents: DataFrame, doc_id: str, text: str, wanted: np.ndarr
                     first = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(doc) > 0)])
                     for a, b in zip(first, np.r_[first[1:], len(at)], strict=True):
                         found[0].append(docs[doc[a]])
-                        found[1].append([bare(w) for w in words[at[a] : at[b - 1] + SHINGLE]])
-            yield pd.DataFrame({"doc": found[0], "run": found[1]})
+                        found[1].append(at[a] - (ends[doc[a] - 1] if doc[a] else 0))
+                        found[2].append([bare(w) for w in words[at[a] : at[b - 1] + SHINGLE]])
+            yield pd.DataFrame({"doc": found[0], "start": np.array(found[1], dtype=np.int32), "run": found[2]})
 
-    return documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, f"doc {kind}, run array<string>")
+    return documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, f"doc {kind}, start int, run array<string>")
 
 
 def _grams(words: str) -> F.Column:
@@ -82,14 +85,22 @@ def _grams(words: str) -> F.Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: float = 0.5) -> DataFrame:
+def _in_window(matches: F.Column, width: F.Column) -> F.Column:
+    """The most item words that matches (structs of at, the place in the document, and pos, that in the item) cover within `width` words of the document."""
+    covered = lambda ps: F.size(F.array_distinct(F.flatten(F.transform(ps, lambda p: F.sequence(p["pos"], p["pos"] + (SHINGLE - 1))))))
+    return F.array_max(F.transform(matches, lambda s: covered(F.filter(matches, lambda p: (p["at"] >= s["at"]) & (p["at"] + SHINGLE <= s["at"] + width)))))
+
+
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: float = 0.5, window: float | None = None) -> DataFrame:
     """Documents and the items they contain: doc_id, item_id, words INT (of the item), found INT (of them, in the document).
 
     Case, accents, look-alike characters, punctuation, entities, tags, invisible characters, line ends and line-end hyphens
-    make no difference. Words are compared, not hashes. Null and empty texts contain nothing, items of under eight words are contained nowhere, repeated rows of an id count once.
+    make no difference. Words are compared, not hashes. Null and empty texts contain nothing, items of under eight words are contained nowhere, repeated rows of an id count once; of several texts under one id the first in order counts.
+    `window` asks for the item's words within so many times the item's own length of the document's words; by default they may stand anywhere in it.
     """
     kinds = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    known = cut(item_words(items, item_id, item_text, kinds[1]).filter(F.size("grams") > 0).dropDuplicates(["item"]), "items")
+    one = items.groupBy(item_id).agg(F.min(item_text).alias(item_text))
+    known = cut(item_words(one, item_id, item_text, kinds[1]).filter(F.size("grams") > 0), "items")
     passes = -(-known.select(F.sum(F.size("grams"))).first()[0] // PER_PASS) if known.take(1) else 0
     runs = None
     for p in range(passes):
@@ -103,7 +114,8 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     runs = cut(runs, "runs")
 
     of_item = known.select("item", "m", F.posexplode(_grams("words")).alias("pos", "gram"))
-    of_doc = runs.select("doc", F.explode(_grams("run")).alias("gram")).distinct()
+    places = runs.select("doc", "start", F.posexplode(_grams("run")).alias("_at", "gram")).select("doc", "gram", (F.col("start") + F.col("_at")).alias("at"))
+    of_doc = places.select("doc", "gram").distinct()
     rarity = of_doc.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
     ranked = (
         of_item.groupBy("item", "m", "gram").agg(F.count(F.lit(1)).alias("times"))
@@ -116,12 +128,16 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         ranked.withColumn("length", F.count(F.lit(1)).over(per_item) - must + 1).withColumn("repeats", F.max("times").over(per_item))
         .filter((F.col("place") <= F.col("length")) & F.col("docs").isNotNull()).select("item", "m", "repeats", "gram")
     )
-    # No more item words can be covered than the document has in runs, times the item's own repeats.
-    room = runs.groupBy("doc").agg(F.sum(F.size("run")).alias("room"))
+    # Each of the document's different shingles covers eight words of an item at most, wherever the item has it.
+    room = of_doc.groupBy("doc").agg((F.count(F.lit(1)) * SHINGLE).alias("room"))
     shortest = known.agg(F.min("m")).first()[0]
     most = of_item.groupBy("item", "gram").count().agg(F.max("count")).first()[0]
     able = of_doc.join(room.filter(F.col("room") * most >= F.ceil(F.lit(shortest * least))), "doc")
     pairs = able.join(prefix, "gram").filter(F.col("room") * F.col("repeats") >= F.ceil(F.col("m") * F.lit(least))).select("doc", "item").distinct()
+    if window is not None:
+        matched = pairs.join(places, "doc").join(of_item, ["item", "gram"]).groupBy("doc", "item", "m").agg(F.collect_set(F.struct("at", "pos")).alias("_p"))
+        counted = matched.select("doc", "item", "m", _in_window(F.col("_p"), F.ceil(F.col("m") * F.lit(window))).alias("found"))
+        return counted.filter(F.col("found") >= F.col("m") * F.lit(least)).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("m").alias("words"), "found")
     shared = pairs.join(of_doc, "doc").join(of_item, ["item", "gram"])
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + (SHINGLE - 1))))))
     counted = shared.groupBy("doc", "item", "m").agg(covered.alias("found"))

@@ -33,7 +33,6 @@ _TABLE_MARKUP = re.compile(r"<(table|h[1-6]|title|thead|tbody|figure|pre)\b.*?</
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|section|article|tr|td|th|dd|dt|dl|hr|blockquote)\b[^<>]*>", re.I)
 _COLUMNS = re.compile(r"\S {2,}\S.*\S {2,}\S")
 _RULE = re.compile(r"[-|:+=_*\s]{3,}$")
-_REFERENCE = re.compile(r"^\W*(?:ref|refs|vid|véase|vegeu|see|cf|cód|codi)\b\.?.*\d", re.I)
 _QUOTED = re.compile(r"^\s*[«“\"].*[»”\"]\s*$")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—>]+|\(?\d{1,3}[.)º°ª]+|\(?[a-z]\))\s+")
 _END = re.compile(r"[.!?…][\"»”')\]]*\s*$")
@@ -43,7 +42,8 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+(?=[\"«“'(¿¡]*[A-ZÀ-Ö
 def sentences(text: str | None) -> list[str]:
     """The sentences of a document's prose.
 
-    Tables, headings, references and quoted titles are left out. A line break ends a sentence unless the next line, also an item of a
+    Tables, headings and references are left out, told by their form alone: a reference is a line of which half the words or more have digits, or one quotation that is no
+    sentence. A line break ends a sentence unless the next line, also an item of a
     list, goes on in lower case, or the text is wrapped (some line goes on so) and the line is full: the next line's first word would not have
     fitted into the width of the widest line.
     """
@@ -63,7 +63,7 @@ def sentences(text: str | None) -> list[str]:
             continue
         heading = bare_line[0] == "#" or (not _END.search(bare_line) and len(bare_line.split()) <= 8 and (first or (bare_line.isupper() and len(bare_line) > 3)))
         first = False
-        if heading or _grid(bare_line) or _REFERENCE.match(bare_line) or _QUOTED.match(bare_line):
+        if heading or _grid(bare_line) or _numbers(bare_line) or (_QUOTED.match(bare_line) and not _END.search(bare_line)):
             lines.append("")
         else:
             lines.append(_BULLET.sub("", line.rstrip()))
@@ -95,6 +95,14 @@ def _grid(line: str) -> bool:
     return "\t" in line or line.count("|") > 1 or ("  " in line and _COLUMNS.search(line) is not None) or (not line[0].isalnum() and _RULE.match(line) is not None)
 
 
+def _numbers(line: str) -> bool:
+    """Whether half of a line's words or more have digits, as references and codes do."""
+    if not any(c.isdigit() for c in line):
+        return False
+    words = _WORD.findall(line)
+    return 2 * sum(any(c.isdigit() for c in w) for w in words) >= len(words)
+
+
 def tokens(sentence: str) -> list[str]:
     """The words as they stand; see number_free."""
     return _WORD.findall(sentence)
@@ -216,8 +224,9 @@ class Model:
 
 
 def fit(texts: list[str], marks: list[list[int]], folds: int = 3, word_penalty: float = 0.5, letter_penalty: float = 0.5) -> Model:
-    """A model from documents and their readers' marks (1 to 5, one or more each)."""
-    y_doc = np.array([[np.mean([m >= k for m in ms]) for k in range(2, LEVELS + 1)] for ms in marks]) if marks else np.zeros((0, LEVELS - 1))
+    """A model from documents and how often readers gave each the marks 1 to 5 (a list of five numbers, not all 0)."""
+    given = np.array(marks, dtype=float).reshape(-1, LEVELS)
+    y_doc = given[:, ::-1].cumsum(1)[:, ::-1][:, 1:] / given.sum(1, keepdims=True)
     vocabulary: dict[str, int] = {}
     rows, doc, letters_n = [], [], []
     for d, text in enumerate(texts):
@@ -303,12 +312,19 @@ class Scorer(dict):
 
 
 def labelled(documents: DataFrame, marks: DataFrame, doc_id: str, text: str, mark: str, most: int = LABELLED) -> tuple[list[str], list[list[int]]]:
-    """Texts and marks of at most `most` documents, drawn by hash. Repeated rows of marks count once, null marks and those off the scale not at all."""
-    per = marks.distinct().filter(F.col(mark).between(1, LEVELS)).groupBy(doc_id).agg(F.sort_array(F.collect_list(mark)).alias("_marks"))
-    drawn = per.orderBy(F.xxhash64(F.lit(3), doc_id), doc_id).limit(most)
-    rows = documents.select(doc_id, F.col(text).alias("_text")).join(drawn, doc_id).filter(F.length("_text").between(1, LONGEST)).select(doc_id, "_text", "_marks").collect()
-    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[doc_id])))
-    return [r["_text"] for r in rows], [list(r["_marks"]) for r in rows]
+    """Texts of at most `most` documents, drawn by hash, and how often each was given the marks 1 to 5. Repeated rows of marks count once, null marks and those off the scale not at all."""
+    spark = documents.sparkSession
+    counts = marks.distinct().filter(F.col(mark).between(1, LEVELS)).groupBy(doc_id).agg(*[F.count_if(F.col(mark) == k).alias(f"_{k}") for k in range(1, LEVELS + 1)])
+    drawn = {r[doc_id]: [r[f"_{k}"] for k in range(1, LEVELS + 1)] for r in counts.orderBy(F.xxhash64(F.lit(3), doc_id), doc_id).limit(most).collect()}
+    # The few ids go down to the scan, where pages of other documents are skipped; so the texts are not read a second time for them.
+    before = spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(most))
+    try:
+        rows = documents.select(doc_id, F.col(text).alias("_text")).filter(F.col(doc_id).isin(list(drawn))).filter(F.length("_text").between(1, LONGEST)).collect()
+    finally:
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", before)
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(f"{r[doc_id]} {r['_text']}"))
+    return [r["_text"] for r in rows], [drawn[r[doc_id]] for r in rows]
 
 
 def levels(documents: DataFrame, doc_id: str, text: str, model: Model) -> DataFrame:

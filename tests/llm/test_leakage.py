@@ -57,3 +57,27 @@ def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(1, "a b c d e f g h i")], "item_id bigint, t string")
     assert L.leaks(d, "doc_id", "text", i, "item_id", "t").collect() == []
     assert L.leaks(d, "doc_id", "text", i.limit(0), "item_id", "t").collect() == []
+
+
+def test_repeated_phrase_covers_two_places(spark):
+    w = [f"w{i}" for i in range(1, 10)]
+    docs, items = [(1, " ".join(w))], [(5, " ".join([*w[:8], "x", "y", *w[1:9], "z"]))]
+    assert brute(docs, items) == {(1, 5, 19, 16)}
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, t string")
+    assert [tuple(r) for r in L.leaks(d, "doc_id", "text", i, "item_id", "t").collect()] == [(1, 5, 19, 16)]
+
+
+def test_first_of_several_texts_under_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(9)) for c in "ab")
+    d = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, b), (7, a), (7, None)], "item_id bigint, t string").repartition(3)
+    assert [(r.doc_id, r.item_id) for r in L.leaks(d, "doc_id", "text", i, "item_id", "t").collect()] == [(1, 7)]
+
+
+def test_window(spark):
+    words = [f"w{i}" for i in range(20)]
+    far = " ".join([*words[:8], *(f"z{i}" for i in range(60)), *words[10:18]])
+    d = spark.createDataFrame([(1, " ".join(words)), (2, far)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, t string")
+    found = lambda w: sorted(tuple(r) for r in L.leaks(d, "doc_id", "text", i, "item_id", "t", window=w).collect())
+    assert found(None) == [(1, 7, 20, 20), (2, 7, 20, 16)] and found(1.0) == [(1, 7, 20, 20)] and found(5.0) == found(None)
