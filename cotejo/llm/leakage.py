@@ -34,7 +34,7 @@ def item_words(items: DataFrame, item_id: str, text: str, keep: str) -> DataFram
         for pdf in parts:
             words = [spellings(t) if t is not None else [] for t in pdf["text"]]
             grams = [rolling(np.array([hashes[w] for w in ws], dtype=np.uint64), SHINGLE).view(np.int64) for ws in words]
-            yield pd.DataFrame({"item": pdf["item"], "m": [len(ws) for ws in words], "words": [[bare(w) for w in ws] for ws in words], "grams": grams})
+            yield pd.DataFrame({"item": pdf["item"], "m": [len(ws) for ws in words], "words": pd.Series([[bare(w) for w in ws] for ws in words], dtype=object), "grams": pd.Series(grams, dtype=object)})
 
     return items.select(F.col(item_id).cast(keep).alias("item"), F.col(text).alias("text")).mapInPandas(run, f"item {keep}, m int, words array<string>, grams array<bigint>")
 
@@ -74,7 +74,7 @@ def matching_runs(documents: DataFrame, doc_id: str, text: str, wanted: np.ndarr
                         found[0].append(docs[doc[a]])
                         found[1].append(at[a] - (ends[doc[a] - 1] if doc[a] else 0))
                         found[2].append([bare(w) for w in words[at[a] : at[b - 1] + SHINGLE]])
-            yield pd.DataFrame({"doc": found[0], "start": np.array(found[1], dtype=np.int32), "run": found[2]})
+            yield pd.DataFrame({"doc": found[0], "start": np.array(found[1], dtype=np.int32), "run": pd.Series(found[2], dtype=object)})
 
     return documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, f"doc {kind}, start int, run array<string>")
 
