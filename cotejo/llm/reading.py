@@ -312,17 +312,13 @@ class Scorer(dict):
 
 
 def labelled(documents: DataFrame, marks: DataFrame, doc_id: str, text: str, mark: str, most: int = LABELLED) -> tuple[list[str], list[list[int]]]:
-    """Texts of at most `most` documents, drawn by hash, and how often each was given the marks 1 to 5. Repeated rows of marks count once, null marks and those off the scale not at all."""
-    spark = documents.sparkSession
+    """Texts of at most `most` documents, drawn by hash, and how often each was given the marks 1 to 5. Repeated rows of marks count once, null marks and those off the scale not at all.
+
+    The few ids are looked up in the scan, without a join; the scan of the texts is the only second reading of them.
+    """
     counts = marks.distinct().filter(F.col(mark).between(1, LEVELS)).groupBy(doc_id).agg(*[F.count_if(F.col(mark) == k).alias(f"_{k}") for k in range(1, LEVELS + 1)])
     drawn = {r[doc_id]: [r[f"_{k}"] for k in range(1, LEVELS + 1)] for r in counts.orderBy(F.xxhash64(F.lit(3), doc_id), doc_id).limit(most).collect()}
-    # The few ids go down to the scan, where pages of other documents are skipped; so the texts are not read a second time for them.
-    before = spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")
-    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(most))
-    try:
-        rows = documents.select(doc_id, F.col(text).alias("_text")).filter(F.col(doc_id).isin(list(drawn))).filter(F.length("_text").between(1, LONGEST)).collect()
-    finally:
-        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", before)
+    rows = documents.select(doc_id, F.col(text).alias("_text")).filter(F.col(doc_id).isin(list(drawn))).filter(F.length("_text").between(1, LONGEST)).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(f"{r[doc_id]} {r['_text']}"))
     return [r["_text"] for r in rows], [drawn[r[doc_id]] for r in rows]
 
