@@ -29,11 +29,11 @@ LABELLED, LONGEST = 2000, 50_000
 GRAM_BUCKETS = 1 << 16
 
 _WORD = re.compile(r"\w+")
+_DIGITS = re.compile(r"\d+")
 _TABLE_MARKUP = re.compile(r"<(table|h[1-6]|title|thead|tbody|figure|pre)\b.*?</\1\s*>", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|section|article|tr|td|th|dd|dt|dl|hr|blockquote)\b[^<>]*>", re.I)
 _COLUMNS = re.compile(r"\S {2,}\S.*\S {2,}\S")
 _RULE = re.compile(r"[-|:+=_*\s]{3,}$")
-_QUOTED = re.compile(r"^\s*[«“\"].*[»”\"]\s*$")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—>]+|\(?\d{1,3}[.)º°ª]+|\(?[a-z]\))\s+")
 _END = re.compile(r"[.!?…][\"»”')\]]*\s*$")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+(?=[\"«“'(¿¡]*[A-ZÀ-ÖØ-Þ])")
@@ -42,8 +42,8 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+(?=[\"«“'(¿¡]*[A-ZÀ-Ö
 def sentences(text: str | None) -> list[str]:
     """The sentences of a document's prose.
 
-    Tables, headings and references are left out, told by their form alone: a reference is a line of which half the words or more have digits, or one quotation that is no
-    sentence. A line break ends a sentence unless the next line, also an item of a
+    Tables, headings and references are left out, told by their form alone: a reference is a line without a sentence's end of which half the words or more have
+    digits, or that is one quotation. A line break ends a sentence unless the next line, also an item of a
     list, goes on in lower case, or the text is wrapped (some line goes on so) and the line is full: the next line's first word would not have
     fitted into the width of the widest line.
     """
@@ -61,9 +61,10 @@ def sentences(text: str | None) -> list[str]:
         if not bare_line:
             lines.append("")
             continue
-        heading = bare_line[0] == "#" or (not _END.search(bare_line) and len(bare_line.split()) <= 8 and (first or (bare_line.isupper() and len(bare_line) > 3)))
+        open_ = not _END.search(bare_line)
+        heading = bare_line[0] == "#" or (open_ and (first or bare_line.isupper()) and (first or len(bare_line) > 3) and len(bare_line.split()) <= 8)
         first = False
-        if heading or _grid(bare_line) or _numbers(bare_line) or (_QUOTED.match(bare_line) and not _END.search(bare_line)):
+        if heading or _grid(bare_line) or (open_ and (_numbers(bare_line) or (bare_line[0] in "«“\"" and bare_line[-1] in "»”\""))):
             lines.append("")
         else:
             lines.append(_BULLET.sub("", line.rstrip()))
@@ -97,10 +98,10 @@ def _grid(line: str) -> bool:
 
 def _numbers(line: str) -> bool:
     """Whether half of a line's words or more have digits, as references and codes do."""
-    if not any(c.isdigit() for c in line):
+    if not (runs := _DIGITS.findall(line)):
         return False
     words = _WORD.findall(line)
-    return 2 * sum(any(c.isdigit() for c in w) for w in words) >= len(words)
+    return 2 * len(runs) >= len(words) and 2 * sum(1 for w in words if _DIGITS.search(w)) >= len(words)  # no more such words than runs of digits
 
 
 def tokens(sentence: str) -> list[str]:
