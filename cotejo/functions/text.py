@@ -5,19 +5,16 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata as ud
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 # Latin presentation forms and what they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-#: Tokens of each side that coherence looks at.
-TOKENS = 12_000
-#: Beginnings of lines that a page repeats, which are no text of the document.
-BOILERPLATE = ("Núm. ", "Sec. ", "Pág. ", "D. L.:", "ISSN:", "Verificable en", "http://", "https://")
 _LIGATURE_TABLE = str.maketrans(LIGATURES)
 
 
@@ -44,27 +41,27 @@ def clean_cell_column(values: pd.Series) -> pd.Series:
     return values.map(clean_cell, na_action="ignore")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def word_tokens(values: pd.Series) -> pd.Series:
-    """Lower-case compatibility-normalised words, accents kept; null has none."""
-    return pd.Series([[] if v is None else re.findall(r"\w+", ud.normalize("NFKC", v).lower()) for v in values])
-
-
-def without_boilerplate(text: str, starts: tuple[str, ...] = BOILERPLATE) -> str:
+def without_boilerplate(text: str, starts: Sequence[str]) -> str:
+    """The text without the lines that begin so, in whatever case: what a page of the source repeats, as its profile says."""
     low = tuple(s.lower() for s in starts)
-    return "\n".join(s for s in text.splitlines() if not s.strip().lower().startswith(low))
+    return "\n".join(s for s in text.splitlines() if not s.strip().lower().startswith(low)) if low else text
 
 
-def coherence(pdf: str, xml: str) -> float:
-    """Ratcliff-Obershelp ratio of the first tokens of two texts; 0 if a side has none."""
-    a = re.findall(r"\w+", ud.normalize("NFKC", xml).lower())[:TOKENS]
-    b = re.findall(r"\w+", ud.normalize("NFKC", without_boilerplate(pdf)).lower())[:TOKENS]
+def coherence(pdf: str, xml: str, starts: Sequence[str] = (), most: int | None = None) -> float:
+    """Ratcliff-Obershelp ratio of the words of two texts, of the whole texts unless `most` words of each are asked for; 0 if a side has none."""
+    words = lambda t: re.findall(r"\w+", ud.normalize("NFKC", t).lower())[:most]
+    a, b = words(xml), words(without_boilerplate(pdf, starts))
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def coherence_column(pdf: pd.Series, xml: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else coherence(a, b) for a, b in zip(pdf, xml, strict=True)], dtype="Float64")
+def coherence_column(starts: Sequence[str] = (), most: int | None = None) -> Callable:
+    """A column function of two texts; null where either is null."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(pdf: pd.Series, xml: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else coherence(a, b, starts, most) for a, b in zip(pdf, xml, strict=True)], dtype="Float64")
+
+    return ratio
 
 
 def doc_key(entity: Column, external_id: Column) -> Column:

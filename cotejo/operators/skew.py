@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How the partial results of one key are merged.
@@ -21,7 +21,12 @@ class Heavy:
 
 
 def heavy_keys(df: DataFrame, key: str, share: float, capacity: int = 4096) -> Heavy:
-    """Candidates for heavy keys, from one frequent-items sketch over the whole column.
+    """heavy_keys_of for one column."""
+    return heavy_keys_of(df, [key], share, capacity)[0]
+
+
+def heavy_keys_of(df: DataFrame, keys: Sequence[str], share: float, capacity: int = 4096) -> list[Heavy]:
+    """Candidates for heavy keys of each column, from frequent-items sketches over the whole columns, all in one pass.
 
     The sketch follows at most `capacity` keys and never counts a key too high by more than
     rows/(0.75*capacity), nor too low; whatever reaches `share` of the rows is therefore among
@@ -33,11 +38,18 @@ def heavy_keys(df: DataFrame, key: str, share: float, capacity: int = 4096) -> H
     if capacity < 16 / share:
         raise ValueError("capacity must be at least 16/share")
     most = min(int(1 / share) * 2 + 2, capacity)
-    top, rows = df.select(F.col(key).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {most}, {capacity})").alias("top"), F.count(F.lit(1)).alias("n")
-    ).first()
+    plain = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    *tops, rows = plain.agg(*[F.expr(f"approx_top_k(k{i}, {most}, {capacity})").alias(f"top{i}") for i in range(len(keys))], F.count(F.lit(1)).alias("n")).first()
     slack = rows / (0.75 * capacity)
-    return Heavy(tuple(x["item"] for x in top or [] if x["item"] is not None and x["count"] + slack >= share * rows), rows)
+    return [Heavy(tuple(x["item"] for x in top or [] if x["item"] is not None and x["count"] + slack >= share * rows), rows) for top in tops]
+
+
+def _among(key: Column, heavy: Heavy) -> Column:
+    return F.coalesce(key.isin(list(heavy.keys)), F.lit(False)) if heavy.keys else F.lit(False)
+
+
+def _salt(salted: Column, salts: int) -> Column:
+    return F.when(salted, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(F.lit(0))
 
 
 def salted_aggregate(
@@ -53,9 +65,7 @@ def salted_aggregate(
     """
     if unknown := {f for _, f, _ in aggs} - MERGE.keys():
         raise ValueError(f"no merge for {sorted(unknown)}")
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    if heavy is not None:
-        salt = F.when(F.col(keys[0]).isin(list(heavy.keys)), salt).otherwise(F.lit(0)) if heavy.keys else F.lit(0)
+    salt = _salt(F.lit(True) if heavy is None else _among(F.col(keys[0]), heavy), salts)
     plain = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], salt.alias("_salt"), *[(F.lit(1) if c is None else F.col(c)).alias(f"_v{i}") for i, (_, _, c) in enumerate(aggs)])
     ks = [f"_k{i}" for i in range(len(keys))]
     partial = plain.groupBy(*ks, "_salt").agg(*[getattr(F, f)(f"_v{i}").alias(f"_a{i}") for i, (_, f, _) in enumerate(aggs)])
@@ -63,11 +73,45 @@ def salted_aggregate(
     return merged.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"_a{i}").alias(n) for i, (n, _, _) in enumerate(aggs)])
 
 
-def shares_at_least(df: DataFrame, key: str, share: float, salts: int = 64) -> DataFrame:
-    """The keys that hold at least `share` of all rows: `key`, n BIGINT, exact.
+def salted_distinct(df: DataFrame, keys: Sequence[str], columns: Sequence[str], salts: int = 64) -> DataFrame:
+    """`keys`, and for each column the number of its different values, null left out: an aggregate whose partial results can't be added up.
+
+    A key's values are told apart first, each value of a key where its hash lies, so a heavy key is spread by what it holds; then they are counted by (key, part of the
+    hash), and these counts are few. Null keys form a group. A key all of whose values are null has 0. An empty table gives no rows.
+    """
+    ks = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    each = df.select(*ks, F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_v")) for i, c in enumerate(columns)]))).distinct()
+    parts = each.groupBy(*names, F.pmod(F.xxhash64("_c", "_v"), F.lit(salts)).alias("_salt")).agg(*[F.count_if((F.col("_c") == i) & F.col("_v").isNotNull()).alias(f"_a{i}") for i in range(len(columns))])
+    merged = parts.groupBy(*names).agg(*[F.sum(f"_a{i}").alias(f"_a{i}") for i in range(len(columns))])
+    return merged.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *[F.col(f"_a{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, heavy: Heavy, salts: int = 64, how: str = "inner") -> DataFrame:
+    """`big` joined with `small` on `key`: columns of big, then the others of small. how: inner or left.
+
+    A heavy key's rows of big are dealt out over `salts` tasks in turn, its rows of small are there in each of them; all other keys are joined as they are. Give as small the side that
+    has few rows for the heavy keys. Null keys join nothing.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    rest = [c for c in small.columns if c != key]
+    spread = F.when(_among(F.col(key), heavy), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = small.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_r{i}") for i, c in enumerate(rest)], F.explode(spread).alias("_part"))
+    left = big.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(big.columns)], F.col(key).alias("_own"), _salt(_among(F.col(key), heavy), salts).alias("_salt"))
+    joined = left.join(right, (F.col("_own") == F.col("_key")) & (F.col("_salt") == F.col("_part")), how)
+    return joined.select(*[F.col(f"_l{i}").alias(c) for i, c in enumerate(big.columns)], *[F.col(f"_r{i}").alias(c) for i, c in enumerate(rest)])
+
+
+def shares_at_least(df: DataFrame, keys: Sequence[str], share: float, salts: int = 64) -> DataFrame:
+    """The values of each column that at least `share` of all rows hold: field STRING, value STRING, n BIGINT, exact.
 
-    Null is no key, but rows with a null key count as rows.
+    Two passes for any number of columns: the sketches, then the counts, a row of which is counted once for each column. Null is no
+    key, but rows with a null key count as rows.
     """
-    heavy = heavy_keys(df, key, share, max(4096, int(16 / share) + 1))
-    counts = salted_aggregate(df, [key], [("n", "count", None)], heavy, salts)
-    return counts.filter(F.col(key).isNotNull() & (F.col("n") >= F.lit(share) * F.lit(float(heavy.rows))))
+    found = heavy_keys_of(df, keys, share, max(4096, int(16 / share) + 1))
+    pairs = [F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("value"), _among(F.col(k), h).alias("_heavy")) for k, h in zip(keys, found, strict=True)]
+    each = df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL")
+    partial = each.groupBy("field", "value", _salt(F.col("_heavy"), salts).alias("_salt")).agg(F.count(F.lit(1)).alias("n"))
+    counts = partial.groupBy("field", "value").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") >= F.lit(share) * F.lit(float(found[0].rows)))

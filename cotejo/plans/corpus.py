@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions import text as T
-from cotejo.operators import corpus, grid
+from cotejo.operators import corpus, grid, manifest, running
 from cotejo.operators.diff import latest
 from cotejo.sources import cut, journal, table, work_path
 
@@ -39,10 +39,13 @@ def top_tags(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _pairs(spark, root) -> DataFrame:
-    """external_id, pdf, xml: first and last fetch of each bulletin that was fetched more than once."""
+    """external_id, doc_id, pdf, xml: each fetch of a bulletin (xml, doc_id) beside the one before it (pdf). Only the numbers are put in order; texts are moved once the pairs are known."""
     d = _docs(spark, root).select("external_id", "doc_id", "text")
-    g = d.groupBy("external_id").agg(F.min(F.struct("doc_id", "text")).alias("a"), F.max(F.struct("doc_id", "text")).alias("b"), F.count(F.lit(1)).alias("n"))
-    return g.filter("n > 1").select("external_id", F.col("a.text").alias("pdf"), F.col("b.text").alias("xml"))
+    n = running.numbered(d.select("external_id", "doc_id").filter("external_id IS NOT NULL"), ["external_id"], ["doc_id"], "n")
+    later = n.filter("n > 1").select("external_id", "doc_id", (F.col("n") - 1).alias("n"))
+    both = later.join(n.withColumnRenamed("doc_id", "before"), ["external_id", "n"]).select("external_id", "doc_id", "before")
+    text = d.select("doc_id", "text")
+    return both.join(text.withColumnRenamed("text", "xml"), "doc_id").join(text.select(F.col("doc_id").alias("before"), F.col("text").alias("pdf")), "before").select("external_id", "doc_id", "pdf", "xml")
 
 
 def _ascii_tokens(c: str):
@@ -50,15 +53,15 @@ def _ascii_tokens(c: str):
 
 
 def token_containment(spark: SparkSession, root: str) -> DataFrame:
-    c = corpus.containment(_pairs(spark, root), "external_id", _ascii_tokens("xml"), _ascii_tokens("pdf"))
-    return c.filter("tokens > 0").select("external_id", "shared", "tokens", F.round("share", 6).alias("share"))
+    c = corpus.containment(_pairs(spark, root), "doc_id", _ascii_tokens("xml"), _ascii_tokens("pdf"))
+    return c.filter("tokens > 0").select("doc_id", "shared", "tokens", F.round("share", 6).alias("share"))
 
 
 def _verdicts(spark, root) -> DataFrame:
     p = _pairs(spark, root).withColumn("nx", F.size(_ascii_tokens("xml"))).withColumn("np", F.size(_ascii_tokens("pdf")))
-    c = corpus.containment(p, "external_id", _ascii_tokens("xml"), _ascii_tokens("pdf")).select("external_id", "share")
+    c = corpus.containment(p, "doc_id", _ascii_tokens("xml"), _ascii_tokens("pdf")).select("doc_id", "share")
     v = corpus.verdict(F.col("xml"), F.col("pdf"), F.col("nx"), F.col("np"), F.col("share"), 0.85)
-    return p.join(c, "external_id", "left").select("external_id", v.alias("causa"))
+    return p.join(c, "doc_id", "left").select("external_id", "doc_id", v.alias("causa"))
 
 
 def pair_verdicts(spark: SparkSession, root: str) -> DataFrame:
@@ -71,7 +74,7 @@ def discard_census(spark: SparkSession, root: str) -> DataFrame:
 
 def coherence_scores(spark: SparkSession, root: str) -> DataFrame:
     """Ratcliff-Obershelp similarity of the two fetches."""
-    return _pairs(spark, root).select("external_id", F.round(T.coherence_column("pdf", "xml"), 6).alias("similitud"))
+    return _pairs(spark, root).select("external_id", "doc_id", F.round(T.coherence_column()("pdf", "xml"), 6).alias("similitud"))
 
 
 def manifest_violations(spark: SparkSession, root: str) -> DataFrame:
@@ -289,15 +292,72 @@ def answer_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return m.groupBy("verificador").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("aciertos"))
 
 
+# ---- a manifest for each day, some of them faulty, written out and read again
+
+SCHEMA, SECTIONS = "manifiesto/1", ["licitaciones", "planes_estudio", "boletin_general"]
+
+
+def _manifests(spark, root) -> tuple[DataFrame, DataFrame]:
+    """Manifests and plans as read from the files, both with `dia`."""
+    d = _docs(spark, root).filter("published_on IS NOT NULL").select("doc_id", "external_id", "source", "published_on", F.when(F.col("text") != "", F.sha2("text", 256)).alias("sha"))
+    n, day, url = F.col("doc_id"), F.col("published_on").cast("string"), lambda host, kind: F.concat(F.lit(f"{host}/{kind}/"), F.col("doc_id").cast("string"))
+    one = {
+        "external_id": F.col("external_id"), "fecha_sumario": day, "seccion": F.col("source"), "url_pdf": url("https://boletin.example", "pdf"), "n_pages": (n % 9).cast("int"),
+        "url_xml": F.when(n % 9 == 0, url("https://otro.example", "xml")).otherwise(url("https://sub.boletin.example", "xml")), "sha256": F.when(n % 11 == 0, "zz").otherwise(F.col("sha")),
+        "cosechado_en": F.when(n % 13 != 0, day),
+    }
+    record = F.struct("doc_id", F.struct(*[one[k].alias(k) for k in sorted(one)]).alias("d"))
+    per = d.groupBy(F.col("published_on").alias("dia")).agg(F.transform(F.sort_array(F.collect_list(record)), lambda x: x["d"]).alias("documentos"))
+    k, text = F.dayofyear("dia"), F.col("dia").cast("string")
+    taken, dropped = F.size("documentos") + F.when(k % 5 == 0, 1).otherwise(0), k % 4
+    tried = taken + dropped + F.when(k % 6 == 0, 1).otherwise(0)
+    pairing = F.struct(taken.alias("aceptados"), dropped.alias("descartados"), tried.alias("intentados"), F.create_map(F.lit("sin_xml"), F.when(k % 3 == 0, 0).otherwise(dropped)).alias("por_causa"), F.when(k % 7 == 0, 0.5).otherwise(dropped / tried).alias("tasa_descarte"), F.when(k % 8 != 0, 0.85).alias("umbral_coherencia"))
+    licence = F.struct(F.when(k % 12 != 0, "CC BY").alias("name"))
+    fields = {
+        "documentos": F.col("documentos"), "emparejado": pairing, "entidad": F.lit("bfi"), "esquema": F.when(k % 17 == 0, "otro").otherwise(SCHEMA), "ventana": F.struct(text.alias("desde"), F.when(k % 10 != 0, text).alias("hasta")),
+        "plan_hash": F.when(k % 4 != 3, F.sha2(F.when(k % 9 == 4, F.lit("x")).otherwise(text), 256)), "licencia_corpus": licence, "licencia_codigo": F.lit("MIT"), "atribucion": F.when(k % 14 == 0, " ").otherwise("Boletín"),
+        "ritmo": F.struct(F.when(k % 5 == 1, 0.4).when(k % 5 != 2, 1.0).alias("espaciado_mediano_s")), "dias_sin_boletin": F.array().cast("array<string>"),
+    }
+    path = work_path(spark, "manifests")
+    per.select(manifest.sorted_json({"dia": text, "manifiesto": manifest.sorted_json(fields)}).alias("value")).write.text(path)
+    read = manifest.parsed(spark.read.text(path), "value", "dia date, manifiesto string")
+    plan = F.to_json(F.struct(F.struct(text.alias("desde"), F.date_add("dia", F.when(k % 9 == 0, 1).otherwise(0)).cast("string").alias("hasta")).alias("ventana"), F.lit(3).alias("objetivo_emparejados"), F.array(*[F.lit(x) for x in SECTIONS]).alias("filtro_secciones"), F.lit(1.0).alias("ritmo_minimo_s")))
+    plans = manifest.parsed(read.select("dia", plan.alias("plan")), "plan", manifest.PLAN).withColumn("digest", F.sha2(text, 256))
+    return manifest.parsed(read, "manifiesto"), plans
+
+
+def manifest_shape(spark: SparkSession, root: str) -> DataFrame:
+    return manifest.shape_problems(_manifests(spark, root)[0], "dia", SCHEMA)
+
+
+def manifest_against_plan(spark: SparkSession, root: str) -> DataFrame:
+    m, plans = _manifests(spark, root)
+    return manifest.plan_problems(m, plans, "dia")
+
+
+def manifest_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of the manifests that break a rule of their own, by rule and day."""
+    docs = manifest.documents_of(_manifests(spark, root)[0], "dia")
+    return manifest.document_problems(docs, ["dia", "pos"], "boletin.example").groupBy("dia", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def companion_seals(spark: SparkSession, root: str) -> DataFrame:
+    """The candidates' companions (the texts of their documents, the first fetch of each) sealed, and those that are missing."""
+    found = table(spark, root, "elegidos").select(F.col("id").alias("external_id")).distinct()
+    files = _docs(spark, root).filter("text IS NOT NULL").groupBy("external_id").agg(F.min_by("text", "doc_id").alias("text")).select("external_id", F.encode("text", "UTF-8").alias("content"))
+    return manifest.companion_seals(found, files, "external_id", "external_id")
+
+
 QUERIES = {f.__name__: f for f in (
+    manifest_shape, manifest_against_plan, manifest_documents, companion_seals,
     doc_keys, text_normalized, html_features, top_tags, token_containment, pair_verdicts, discard_census, coherence_scores, manifest_violations, duplicate_keys, duplicate_digests, byte_integrity,
     table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_code_points, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
     journal_lines, journal_done, journal_repeated, journal_contradictions, manifest_json, documents_in_order, requested_documents, inherited_documents, span_verdicts, conformance, egress_offenders, vocabulary_drift, answer_accuracy,
 )}
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(nfc_normalize(text), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'), '\p{Cf}', '', 'g'), '[\p{Cc}\p{Zs}\p{Zl}\p{Zp}]', ' ', 'g'), ' +', ' ', 'g'))"
-_P = "WITH p AS (SELECT external_id, first(text ORDER BY doc_id) AS pdf, last(text ORDER BY doc_id) AS xml FROM (SELECT external_id, doc_id, text FROM documents) GROUP BY external_id HAVING count(*) > 1), k AS (SELECT external_id, pdf, xml, regexp_extract_all(lower(coalesce(xml, '')), '[a-z0-9]+') AS tx, regexp_extract_all(lower(coalesce(pdf, '')), '[a-z0-9]+') AS tp FROM p), b AS (SELECT external_id, t, sum(l) AS l, sum(r) AS r FROM (SELECT external_id, unnest(tx) AS t, 1 AS l, 0 AS r FROM k UNION ALL SELECT external_id, unnest(tp), 0, 1 FROM k) GROUP BY ALL), c AS (SELECT external_id, sum(least(l, r))::BIGINT AS shared, sum(l)::BIGINT AS tokens FROM b GROUP BY external_id) "
-_V = _P + ", v AS (SELECT k.external_id, CASE WHEN xml IS NULL THEN 'sin_xml' WHEN pdf IS NULL THEN 'sin_pdf' WHEN len(tx) = 0 THEN 'xml_sin_texto' WHEN len(tp) = 0 THEN 'pdf_sin_texto' WHEN shared / tokens < 0.85 THEN 'incoherente' END AS causa FROM k LEFT JOIN c USING (external_id)) "
+_P = "WITH o AS (SELECT external_id, doc_id, text AS xml, lag(text) OVER w AS pdf, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY external_id ORDER BY doc_id)), p AS (SELECT * FROM o WHERE n > 1), k AS (SELECT external_id, doc_id, pdf, xml, regexp_extract_all(lower(coalesce(xml, '')), '[a-z0-9]+') AS tx, regexp_extract_all(lower(coalesce(pdf, '')), '[a-z0-9]+') AS tp FROM p), b AS (SELECT doc_id, t, sum(l) AS l, sum(r) AS r FROM (SELECT doc_id, unnest(tx) AS t, 1 AS l, 0 AS r FROM k UNION ALL SELECT doc_id, unnest(tp), 0, 1 FROM k) GROUP BY ALL), c AS (SELECT doc_id, sum(least(l, r))::BIGINT AS shared, sum(l)::BIGINT AS tokens FROM b GROUP BY doc_id) "
+_V = _P + ", v AS (SELECT k.external_id, k.doc_id, CASE WHEN xml IS NULL THEN 'sin_xml' WHEN pdf IS NULL THEN 'sin_pdf' WHEN len(tx) = 0 THEN 'xml_sin_texto' WHEN len(tp) = 0 THEN 'pdf_sin_texto' WHEN shared / tokens < 0.85 THEN 'incoherente' END AS causa FROM k LEFT JOIN c USING (doc_id)) "
 _GRID = """WITH c AS (SELECT external_id, tabla, celda AS i, "row" AS r, col AS c, rowspan AS rs, colspan AS cs FROM (SELECT *, row_number() OVER (PARTITION BY external_id, tabla, celda ORDER BY leido_en DESC NULLS LAST, "row" DESC NULLS LAST, col DESC NULLS LAST, rowspan DESC NULLS LAST, colspan DESC NULLS LAST) AS rn FROM celdas_pdf)
   WHERE rn = 1 AND "row" IS NOT NULL AND col IS NOT NULL AND rowspan IS NOT NULL AND colspan IS NOT NULL),
 t AS (SELECT external_id, tabla, max(r)::BIGINT + 1 AS n, max(c)::BIGINT + 1 AS m, tabla % 7 AS p1, tabla % 5 AS p2, tabla % 4 <> 3 AS ex, CASE WHEN tabla % 6 = 5 THEN 'docx' WHEN tabla % 6 = 4 THEN 'text' ELSE 'html' END AS f FROM c WHERE r >= 0 AND c >= 0 GROUP BY external_id, tabla),
@@ -327,13 +387,25 @@ _FATAL = "(" + ", ".join(f"'{c}'" for c in grid.FATAL) + ")"
 _ITEMS = "WITH i AS (SELECT published_on, source, emisor, doc_id, doc_id % 3 = 0 AS deep, CASE WHEN doc_id % 17 = 0 THEN 'S-' ELSE 'A-' END || doc_id AS identificador, 'https://boletin.example/pdf/' || doc_id AS url_pdf, CASE WHEN doc_id % 9 <> 0 THEN 'https://boletin.example/xml/' || doc_id END AS url_xml, (n_chars % 90)::VARCHAR AS paginas FROM documents WHERE published_on IS NOT NULL AND source IS NOT NULL AND emisor IS NOT NULL) "
 _JN = "WITH h AS (SELECT DISTINCT medicion_id, extractor_id, fixture, tablas_halladas, error FROM humo), r AS (SELECT * FROM h WHERE medicion_id % 40 <> 0) "
 
+_MAN = f"""WITH d AS (SELECT published_on AS dia, dayofyear(published_on) AS k, doc_id AS n, source AS seccion, CASE WHEN doc_id % 11 = 0 THEN 'zz' WHEN text <> '' THEN sha256(text) END AS sha, row_number() OVER (PARTITION BY published_on ORDER BY doc_id) - 1 AS pos FROM documents WHERE published_on IS NOT NULL),
+g AS (SELECT dia, k, count(*) AS docs, list(coalesce(seccion, '')) AS ss FROM d GROUP BY ALL), e AS (SELECT *, docs + (k % 5 = 0)::INT AS taken, k % 4 AS dropped FROM g), m AS (SELECT *, taken + dropped + (k % 6 = 0)::INT AS tried FROM e) """
+
 SQL = {
+    "manifest_shape": _MAN + """SELECT dia, unnest(list_filter([CASE WHEN k % 17 = 0 THEN 'schema' END, CASE WHEN taken + dropped <> tried THEN 'balance' END, CASE WHEN taken <> docs THEN 'documents' END,
+  CASE WHEN tried > 0 AND k % 7 = 0 AND abs(0.5 - dropped / tried) > 1e-9 THEN 'rate' END, CASE WHEN k % 3 = 0 AND dropped <> 0 THEN 'causes' END, CASE WHEN k % 8 = 0 THEN 'threshold' END, CASE WHEN k % 10 = 0 THEN 'window' END,
+  CASE WHEN k % 14 = 0 THEN 'attribution' END, CASE WHEN k % 12 = 0 THEN 'licence' END], lambda x: x IS NOT NULL)) AS rule FROM m""",
+    "manifest_against_plan": _MAN + """SELECT dia, unnest(list_filter([CASE WHEN k % 4 = 3 THEN 'no plan' END, CASE WHEN k % 4 <> 3 AND k % 9 = 4 THEN 'other plan' END, CASE WHEN k % 10 = 0 OR k % 9 = 0 THEN 'to' END, CASE WHEN taken < 3 THEN 'target' END,
+  CASE WHEN len(list_filter(ss, lambda x: x NOT IN ('licitaciones', 'planes_estudio', 'boletin_general'))) > 0 THEN 'sections' END, CASE WHEN k % 5 = 2 THEN 'pace not measured' END, CASE WHEN k % 5 = 1 THEN 'pace' END], lambda x: x IS NOT NULL)) AS rule FROM m""",
+    "manifest_documents": _MAN + """, r AS (SELECT dia, CASE WHEN trim(coalesce(seccion, '')) = '' THEN 'no seccion' END AS rule FROM d UNION ALL SELECT dia, CASE WHEN n % 13 = 0 THEN 'no cosechado_en' END FROM d UNION ALL SELECT dia, CASE WHEN sha IS NULL OR sha = 'zz' THEN 'digest' END FROM d
+  UNION ALL SELECT dia, CASE WHEN n % 9 = 0 THEN 'foreign url_xml' END FROM d UNION ALL SELECT dia, 'same digest' FROM (SELECT dia, sha, row_number() OVER (PARTITION BY dia, sha ORDER BY pos) AS k FROM d WHERE sha <> 'zz') WHERE k > 1)
+SELECT dia, rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY ALL""",
+    "companion_seals": "WITH f AS (SELECT external_id, first(text ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY external_id) SELECT id AS external_id, CASE WHEN f.text IS NULL THEN 'missing' ELSE 'sealed' END AS state, sha256(f.text) AS sha256, strlen(f.text) AS bytes FROM (SELECT DISTINCT id FROM elegidos) LEFT JOIN f ON f.external_id = id",
     "doc_keys": "SELECT doc_id, replace(replace(coalesce(source, '%/'), '%', '%25'), '/', '%2F') || '/' || replace(replace(external_id, '%', '%25'), '/', '%2F') AS clave FROM documents",
     "text_normalized": f"SELECT doc_id, md5({_CLEAN}) AS huella, length({_CLEAN}) AS letras FROM documents",
     "html_features": r"""WITH f AS (SELECT doc_id, len(regexp_extract_all(lower(text), '<table')) AS n_tables, len(regexp_extract_all(lower(text), '<img')) AS n_images, list_filter(list_transform(regexp_extract_all(lower(text), '(?:row|col)span\s*=\s*"?([0-9]{1,6})', 1), lambda x: x::INT), lambda x: x > 1) AS sp, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS n_plain FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, n_tables, n_images, len(sp) AS n_spans, coalesce(list_max(sp), 1) AS max_span, n_plain, CASE WHEN n_tables = 0 THEN CASE WHEN n_images > 0 THEN 'anexo-png' ELSE 'sin-tabla' END WHEN len(sp) > 0 THEN 'celdas-combinadas' ELSE 'tabla-simple' END AS estrato FROM f""",
     "top_tags": "SELECT lang, tag, n, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tag) AS place FROM (SELECT coalesce(lang, '-') AS lang, tag, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '<([a-z][a-z0-9]*)', 1)) AS tag FROM documents) GROUP BY ALL)) WHERE place <= 12",
-    "token_containment": _P + "SELECT external_id, shared, tokens, round(shared / tokens, 6) AS share FROM c WHERE tokens > 0",
+    "token_containment": _P + "SELECT doc_id, shared, tokens, round(shared / tokens, 6) AS share FROM c WHERE tokens > 0",
     "pair_verdicts": _V + "SELECT * FROM v",
     "discard_census": _V + "SELECT causa, count(*) AS n FROM v GROUP BY causa",
     "manifest_violations": "SELECT doc_id, unnest(list_filter([CASE WHEN coalesce(text, '') = '' THEN 'sin texto' END, CASE WHEN lang IS NULL THEN 'sin lengua' END, CASE WHEN lang NOT IN ('es', 'ca', 'en') THEN 'lengua desconocida' END, CASE WHEN source IS NULL THEN 'sin fuente' END, CASE WHEN n_chars <> length(text) THEN 'longitud' END, CASE WHEN published_on IS NULL THEN 'sin fecha' END, CASE WHEN published_on NOT BETWEEN DATE '2031-01-01' AND DATE '2031-06-30' THEN 'fuera de ventana' END, CASE WHEN NOT regexp_full_match(external_id, 'BFI-A-2031-[0-9]+') THEN 'id' END], lambda x: x IS NOT NULL)) AS rule FROM documents",

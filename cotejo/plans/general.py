@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.operators.diff import ONLY_LEFT, ONLY_RIGHT, diff, latest
-from cotejo.operators.skew import heavy_keys, salted_aggregate, shares_at_least
+from cotejo.operators.skew import heavy_keys, salted_aggregate, salted_distinct, salted_join, shares_at_least
 from cotejo.sources import table
 
 CELL_KEY = ["external_id", "tabla", "celda"]
@@ -43,10 +43,24 @@ def p3_by_field(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     parts = []
-    for name, field in (("censo_tablas", "external_id"), ("censo_tablas", "tablas"), ("seleccion", "n_tablas_del_documento")):
-        found = shares_at_least(table(spark, root, name), field, HEAVY)
-        parts.append(found.select(F.lit(name).alias("tabla"), F.lit(field).alias("campo"), F.col(field).cast("string").alias("clave")))
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    for name, fields in (("censo_tablas", ["external_id", "tablas"]), ("seleccion", ["n_tablas_del_documento"])):
+        found = shares_at_least(table(spark, root, name), fields, HEAVY)
+        parts.append(found.select(F.lit(name).alias("tabla"), F.col("field").alias("campo"), F.col("value").alias("clave")))
+    return parts[0].unionAll(parts[1])
+
+
+def p5_distinct_by_bulletin(spark: SparkSession, root: str) -> DataFrame:
+    """How many extractors and how many different counts each bulletin has."""
+    d = salted_distinct(table(spark, root, "censo_tablas"), ["external_id"], ["extractor_id", "tablas"])
+    return d.select("external_id", F.col("extractor_id").alias("extractores"), F.col("tablas").alias("cuentas"))
+
+
+def p5_pages_by_extractor(spark: SparkSession, root: str) -> DataFrame:
+    """Each extractor's lines beside the pages of their bulletins: the census, of which few bulletins have most lines, joined with what the selection knows of each."""
+    censo = table(spark, root, "censo_tablas").select("external_id", "extractor_id", "tablas")
+    pages = table(spark, root, "seleccion").groupBy("external_id").agg(F.max("n_pages").alias("paginas"))
+    j = salted_join(censo, pages, "external_id", heavy_keys(censo, "external_id", HEAVY), how="left")
+    return j.groupBy("extractor_id").agg(F.count(F.lit(1)).alias("lineas"), F.count("paginas").alias("con_paginas"), F.sum("paginas").alias("paginas"), F.sum("tablas").alias("tablas"))
 
 
 CENSUS = [("lineas", "count", None), ("contadas", "count", "tablas"), ("tablas", "sum", "tablas"), ("tablas_min", "min", "tablas"), ("tablas_max", "max", "tablas"), ("ultimo_us", "max", "recibido_us")]
@@ -68,7 +82,7 @@ def p5_selection_by_count(spark: SparkSession, root: str) -> DataFrame:
     return salted_aggregate(s, ["n_tablas_del_documento"], aggs, heavy_keys(s, "n_tablas_del_documento", HEAVY))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_values, p3_by_field, p5_found, p5_census_by_bulletin, p5_census_by_count, p5_selection_by_count)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_values, p3_by_field, p5_found, p5_census_by_bulletin, p5_census_by_count, p5_selection_by_count, p5_distinct_by_bulletin, p5_pages_by_extractor)}
 
 _LAST = """
 WITH p AS (SELECT external_id, tabla, celda, "row", col, rowspan, colspan FROM (SELECT *, row_number() OVER (PARTITION BY external_id, tabla, celda
@@ -96,6 +110,8 @@ SQL = {
     "p3_values": _LAST + "SELECT * FROM d",
     "p3_by_field": _LAST + "SELECT campo, count(*) AS n, count(DISTINCT (external_id, tabla)) AS n_tablas FROM d GROUP BY campo",
     "p5_found": " UNION ALL ".join(_heavy_sql(*x) for x in (("censo_tablas", "external_id"), ("censo_tablas", "tablas"), ("seleccion", "n_tablas_del_documento"))),
+    "p5_distinct_by_bulletin": "SELECT external_id, count(DISTINCT extractor_id) AS extractores, count(DISTINCT tablas) AS cuentas FROM censo_tablas GROUP BY external_id",
+    "p5_pages_by_extractor": "SELECT extractor_id, count(*) AS lineas, count(paginas) AS con_paginas, sum(paginas)::BIGINT AS paginas, sum(tablas)::BIGINT AS tablas FROM censo_tablas LEFT JOIN (SELECT external_id, max(n_pages) AS paginas FROM seleccion GROUP BY external_id) USING (external_id) GROUP BY extractor_id",
     "p5_census_by_bulletin": "SELECT external_id, count(*) AS lineas, count(tablas) AS contadas, sum(tablas)::BIGINT AS tablas, min(tablas) AS tablas_min, max(tablas) AS tablas_max, epoch_us(max(recibido_en)) AS ultimo_us FROM censo_tablas GROUP BY external_id",
     "p5_census_by_count": "SELECT tablas, count(*) AS lineas, epoch_us(min(contado_en)) AS primero_us, epoch_us(max(recibido_en)) AS ultimo_us FROM censo_tablas GROUP BY tablas",
     "p5_selection_by_count": "SELECT n_tablas_del_documento, count(*) AS filas, sum(n_pages)::BIGINT AS paginas, count(n_pages) AS con_paginas, epoch_us(max(elegido_en)) AS ultimo_us FROM seleccion GROUP BY n_tablas_del_documento",

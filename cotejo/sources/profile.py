@@ -12,6 +12,7 @@ class Profile:
     hosts: tuple[str, ...]
     sections: tuple[str, ...]
     strata: tuple[str, ...]
+    boilerplate: tuple[str, ...]
     seconds_between_requests: float
     coherence: float
     third_parties: bool
@@ -25,7 +26,7 @@ def load_profile(path: str) -> Profile:
     names = Profile.__dataclass_fields__
     if not isinstance(given, dict) or set(given) != set(names):
         raise ValueError(f"{path}: fields {sorted(set(names) ^ set(given if isinstance(given, dict) else []))}")
-    for f in ("hosts", "sections", "strata"):
+    for f in ("hosts", "sections", "strata", "boilerplate"):
         if not isinstance(given[f], list) or not all(isinstance(x, str) for x in given[f]):
             raise ValueError(f"{path}: {f} must be a list of texts")
         given[f] = tuple(given[f])

@@ -62,7 +62,7 @@ def test_summaries(spark, tmp_path):
 
 
 def test_profile(tmp_path):
-    good = "entity: bfi\nhosts: [a.example]\nsections: ['1']\nstrata: [x]\nseconds_between_requests: 1\ncoherence: 0.85\nthird_parties: false\n"
+    good = "entity: bfi\nhosts: [a.example]\nsections: ['1']\nstrata: [x]\nboilerplate: ['Pág. ']\nseconds_between_requests: 1\ncoherence: 0.85\nthird_parties: false\n"
     p = tmp_path / "p.yaml"
     p.write_text(good)
     assert load_profile(str(p)).coherence == 0.85

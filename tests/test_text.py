@@ -18,7 +18,9 @@ def test_clean(a, b):
 
 def test_coherence():
     assert T.coherence("uno dos tres", "uno dos tres") == 1.0 and T.coherence("", "x") == 0.0
-    assert T.coherence("Pág. 4\nuno dos", "uno dos") == 1.0
+    assert T.coherence("Pág. 4\nuno dos", "uno dos", ["Pág. "]) == 1.0 and T.coherence("Pág. 4\nuno dos", "uno dos") < 1
+    long = " ".join(f"w{i}" for i in range(12_500))
+    assert T.coherence(long + " z", long + " y") < 1 and T.coherence(long + " z", long + " y", most=12_000) == 1.0
 
 
 def test_columns(spark):
