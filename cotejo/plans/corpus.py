@@ -149,6 +149,19 @@ def levenshtein_code_points(spark: SparkSession, root: str) -> DataFrame:
     return c.select("correccion_id", d.alias("distancia"), F.round(F.when(d == 0, 0.0).otherwise(d / longest), 6).alias("relativa"))
 
 
+def text_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """What two readings of a cell share at their ends, and what is between."""
+    c = table(spark, root, "correcciones").select("correccion_id", "puse", "el_pdf_dice").distinct()
+    first, last = T.shared_ends(F.col("puse"), F.col("el_pdf_dice"))
+    middle = lambda c: F.substring(c, F.col("prefijo") + 1, F.length(c) - F.col("prefijo") - F.col("sufijo"))
+    return c.withColumns({"prefijo": first, "sufijo": last}).select("correccion_id", "prefijo", "sufijo", middle(F.col("puse")).alias("solo_puse"), middle(F.col("el_pdf_dice")).alias("solo_pdf"))
+
+
+def word_context(spark: SparkSession, root: str) -> DataFrame:
+    """Where each text has its first figure in euros, with what is around."""
+    return _docs(spark, root).select("doc_id", T.context(F.col("text"), "euros").alias("contexto")).filter("contexto IS NOT NULL")
+
+
 def code_points(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "correcciones").select("correccion_id", T.code_points(F.col("puse")).alias("puntos")).distinct()
 
@@ -351,7 +364,7 @@ def companion_seals(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     manifest_shape, manifest_against_plan, manifest_documents, companion_seals,
     doc_keys, text_normalized, html_features, top_tags, token_containment, pair_verdicts, discard_census, coherence_scores, manifest_violations, duplicate_keys, duplicate_digests, byte_integrity,
-    table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_code_points, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
+    table_findings, finding_census, derived_truth, grid_holes, grid_overlaps, levenshtein_code_points, text_evidence, word_context, code_points, locale_figures, short_dates, page_fields, day_counts, summary_items, summary_urls, discovered,
     journal_lines, journal_done, journal_repeated, journal_contradictions, manifest_json, documents_in_order, requested_documents, inherited_documents, span_verdicts, conformance, egress_offenders, vocabulary_drift, answer_accuracy,
 )}
 
@@ -417,6 +430,11 @@ SELECT doc_id, n_tables, n_images, len(sp) AS n_spans, coalesce(list_max(sp), 1)
     "derived_truth": _FIND + f" SELECT t.external_id, t.tabla, x.l IS NULL AS kept, coalesce(x.l, '') AS fatal FROM t LEFT JOIN (SELECT external_id, tabla, string_agg(code, ',' ORDER BY code) AS l FROM (SELECT DISTINCT external_id, tabla, code FROM fd WHERE code IN {_FATAL}) GROUP BY ALL) x ON x.external_id = t.external_id AND x.tabla = t.tabla",
     "grid_holes": _GRID + _POS.format("c") + " SELECT s.external_id, s.tabla, x.r::INT AS r, y.c::INT AS c FROM s, LATERAL (SELECT unnest(range(0, n)) AS r) x, LATERAL (SELECT unnest(range(0, m)) AS c) y WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.external_id = s.external_id AND pos.tabla = s.tabla AND pos.r = x.r AND pos.c = y.c)",
     "grid_overlaps": _GRID + _POS.format("c") + " SELECT external_id, tabla, i AS cell_idx, r, c, f AS first_idx FROM (SELECT *, row_number() OVER w AS k, first_value(i) OVER w AS f FROM pos WINDOW w AS (PARTITION BY external_id, tabla, r, c ORDER BY i)) WHERE k > 1",
+    "text_evidence": """WITH c AS (SELECT DISTINCT correccion_id, puse, el_pdf_dice, regexp_extract_all(puse, '(?s).') AS a, regexp_extract_all(el_pdf_dice, '(?s).') AS b FROM correcciones),
+p AS (SELECT *, list_position(list_append(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: coalesce(a[i] = b[i], false)), false), false) - 1 AS f FROM c),
+s AS (SELECT *, list_position(list_append(list_transform(range(0, greatest(len(a), len(b)) - f), lambda i: i < len(a) - f AND i < len(b) - f AND coalesce(a[len(a) - i] = b[len(b) - i], false)), false), false) - 1 AS l FROM p)
+SELECT correccion_id, f::INT AS prefijo, l::INT AS sufijo, array_to_string(a[f + 1:len(a) - l], '') AS solo_puse, array_to_string(b[f + 1:len(b) - l], '') AS solo_pdf FROM s""",
+    "word_context": "SELECT doc_id, substr(text, greatest(strpos(text, 'euros') - 45, 1), 50 + least(strpos(text, 'euros') - 1, 45)) AS contexto FROM documents WHERE strpos(text, 'euros') > 0",
     "code_points": "SELECT DISTINCT correccion_id, list_aggregate(list_transform(regexp_extract_all(puse, '(?s).'), lambda x: 'U+' || printf('%04X', unicode(x))), 'string_agg', ' ') AS puntos FROM correcciones",
     "locale_figures": "SELECT DISTINCT medicion_id, coalesce(translate(format('{:,.2f}', (paginas * 1234)::DOUBLE), ',.', '.,'), 'n/a') AS cifra, left(sha256(error), 12) AS huella FROM humo",
     "short_dates": "SELECT day(published_on) || ' ' || ['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sep', 'oct', 'nov', 'dic'][month(published_on)] || ' ' || year(published_on) AS dia, count(*) AS n FROM documents WHERE published_on IS NOT NULL GROUP BY 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cotejo.operators import order_stats, running, sampling, scoring, stats
 from cotejo.operators.diff import latest, residue
-from cotejo.sources import table
+from cotejo.sources import journal, table
 
 EXTRACTORS = ["lectorplano", "marcas", "rejilla", "visor"]
 
@@ -231,9 +231,22 @@ def population_union(spark: SparkSession, root: str) -> DataFrame:
 
 
 def first_of_each(spark: SparkSession, root: str) -> DataFrame:
-    """Of rows of one measurement the one measured first (here: all the same)."""
-    h = table(spark, root, "humo").select("medicion_id", "fixture", "extractor_id", F.unix_micros("medido_en").alias("us"))
-    return latest(h.withColumn("antes", -F.col("us")), ["medicion_id"], "antes", ["fixture", "extractor_id", "us"])
+    """Of a table that was chosen several times, the first choice."""
+    s = table(spark, root, "seleccion").select("external_id", "tabla", "banda", "n_pages", F.unix_micros("elegido_en").alias("us"))
+    return latest(s.withColumn("antes", -F.col("us")), ["external_id", "tabla"], "antes", ["banda", "n_pages", "us"])
+
+
+def population_regimes(spark: SparkSession, root: str) -> DataFrame:
+    """A campaign's population: all candidates with tables, and of those without a sample of forty in each band."""
+    e = table(spark, root, "elegidos").select(F.col("id").alias("documento"), "banda", "tablas_verdad").distinct()
+    census = e.filter("tablas_verdad > 0").select("documento").distinct()
+    samples = sampling.stratified(e.filter("tablas_verdad = 0").select("documento", "banda").distinct(), "banda", "documento", 40, "p")
+    return journal.population(census, samples)
+
+
+def population_first(spark: SparkSession, root: str) -> DataFrame:
+    """The same cut to its first five hundred documents, by regime and name."""
+    return journal.population_cut(population_regimes(spark, root), 500, ["regimen", "documento"])
 
 
 def count_agreement(spark: SparkSession, root: str) -> DataFrame:
@@ -247,7 +260,7 @@ def count_agreement(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     failures_by_cause, latency_cost, run_summary, wilson_intervals, ratio_estimator, ols_slope, projected_hours, cluster_bootstrap_ci, quartiles_exclusive, cost_summary, series_verdicts,
     largest_remainder_quota, stratified_sample, first_per_cell, work_order, pending_units, feasibility_frontier, twenty_cheapest, lightest_by_band, quickstart_greedy, request_spacing, stop_rule,
-    target_cutoff, discard_by_season, text_layer_census, false_positives, consensus_counts, fingerprint_changes, symmetric_difference, population_union, first_of_each, count_agreement,
+    target_cutoff, discard_by_season, text_layer_census, false_positives, consensus_counts, fingerprint_changes, symmetric_difference, population_union, population_regimes, population_first, first_of_each, count_agreement,
 )}
 
 _H = "WITH h AS (SELECT DISTINCT medicion_id, fixture, extractor_id, extractor_version, segundos, paginas, tablas_halladas, error FROM humo), t AS (SELECT *, CASE WHEN paginas <= 10 THEN '<=10' WHEN paginas <= 50 THEN '11-50' ELSE '>50' END AS banda FROM h WHERE segundos >= 0 AND NOT isnan(segundos) AND paginas > 0) "
@@ -257,6 +270,8 @@ _X4 = "(VALUES ('lectorplano'), ('marcas'), ('rejilla'), ('visor')) x(extractor_
 _Q = "CASE WHEN n > 1 THEN round(l[j{i}::INT] + ({i} * (n + 1) / 4.0 - j{i}) * (l[j{i}::INT + 1] - l[j{i}::INT]), 6) END AS q{i}"
 _D = "SELECT {k} AS estacion, count(*) AS intentados, count(*) FILTER (text <> '') AS aceptados, count(*) - count(*) FILTER (text <> '') AS descartes, round((count(*) - count(*) FILTER (text <> '')) / count(*), 6) AS tasa, count(DISTINCT published_on) AS dias FROM documents WHERE published_on IS NOT NULL"
 
+_POP = "WITH s AS (SELECT id, row_number() OVER (PARTITION BY banda ORDER BY md5(id || '-p'), id) AS r FROM (SELECT DISTINCT id, banda FROM elegidos WHERE tablas_verdad = 0)), p AS (SELECT DISTINCT id AS documento, 'censo' AS regimen FROM elegidos WHERE tablas_verdad > 0 UNION ALL SELECT id, 'muestra' FROM s WHERE r <= 40) "
+
 SQL = {
     "failures_by_cause": _H + "SELECT extractor_id, error, count(*) AS n FROM h WHERE error <> '' GROUP BY ALL",
     "latency_cost": _H + "SELECT extractor_id, count(*) AS extracciones, sum(paginas)::BIGINT AS paginas, round(sum(segundos) / sum(paginas), 6) AS s_por_pagina, round(sum(segundos) / count(*), 6) AS s_por_documento, round(sum(segundos) / 3600, 6) AS horas, floor(quantile_cont(segundos, 0.5) * 1000 + 1e-6)::INT AS latencia_ms FROM t GROUP BY extractor_id",
@@ -287,6 +302,8 @@ SQL = {
     "fingerprint_changes": _H + "SELECT extractor_id, fixture, tablas_halladas, sum(s)::BIGINT AS copias FROM (SELECT *, CASE extractor_version WHEN '1.2.0' THEN 1 ELSE -1 END AS s FROM h WHERE extractor_version IN ('1.2.0', '2.0.0')) GROUP BY extractor_id, fixture, tablas_halladas HAVING sum(s) <> 0",
     "symmetric_difference": "SELECT 'humo' AS solo_en, count(*) AS fixtures FROM (SELECT fixture FROM humo EXCEPT SELECT fixture FROM correcciones) UNION ALL SELECT 'correcciones', count(*) FROM (SELECT fixture FROM correcciones EXCEPT SELECT fixture FROM humo)",
     "population_union": "SELECT documento, count(*) AS veces FROM (SELECT id AS documento FROM elegidos UNION ALL SELECT external_id FROM seleccion) GROUP BY documento",
-    "first_of_each": "SELECT DISTINCT medicion_id, fixture, extractor_id, epoch_us(medido_en) AS us FROM humo",
+    "first_of_each": "SELECT external_id, tabla, banda, n_pages, epoch_us(elegido_en) AS us FROM (SELECT *, row_number() OVER (PARTITION BY external_id, tabla ORDER BY elegido_en NULLS LAST, banda DESC NULLS LAST, n_pages DESC NULLS LAST) AS r FROM seleccion) WHERE r = 1",
+    "population_regimes": _POP + "SELECT * FROM p",
+    "population_first": _POP + "SELECT * FROM p ORDER BY regimen, documento LIMIT 500",
     "count_agreement": f"WITH d AS (SELECT DISTINCT id AS external_id, tablas_verdad AS m FROM elegidos WHERE tablas_verdad > 0), s AS (SELECT external_id, extractor_id, max(tablas) AS n FROM censo_tablas WHERE extractor_id IS NOT NULL AND tablas IS NOT NULL GROUP BY ALL), j AS (SELECT x.extractor_id, m, coalesce(n, 0) AS n FROM d CROSS JOIN {_X4} LEFT JOIN s ON s.external_id = d.external_id AND s.extractor_id = x.extractor_id) SELECT extractor_id, count(*) AS documentos, count(*) FILTER (n = m) AS iguales, sum(greatest(n - m, 0))::BIGINT AS de_mas, sum(greatest(m - n, 0))::BIGINT AS de_menos FROM j GROUP BY extractor_id",
 }

@@ -140,6 +140,18 @@ def population(census: DataFrame, samples: DataFrame) -> DataFrame:
     return census.select("documento", F.lit("censo").alias("regimen")).unionByName(samples.select("documento", F.lit("muestra").alias("regimen")))
 
 
+def population_cut(documents: DataFrame, n: int | None, order: list[str]) -> DataFrame:
+    """The first n documents in `order`, all if n is None: a campaign may be cut, but never to documents that depend on how they lie."""
+    return documents if n is None else documents.orderBy(*order).limit(n)
+
+
+def refuse_network(offline: bool, extractors: DataFrame, local: str = "runs_locally") -> DataFrame:
+    """The extractors as they are; offline, one that is not local is an error, before its first unit."""
+    if offline and (far := [r[0] for r in extractors.filter(~F.col(local)).select(extractors.columns[0]).limit(20).collect()]):
+        raise PermissionError(f"offline, but not local: {', '.join(map(str, far))}")
+    return extractors
+
+
 def seal(path: str, inputs: dict[str, bytes], extra: dict | None = None) -> dict:
     """Writes what a run starts from, before its first unit, or compares it with what a run before it wrote.
 
