@@ -189,6 +189,12 @@ def day_counts(spark: SparkSession, root: str) -> DataFrame:
     return days.join(d, days["dia"] == d["published_on"], "left").select("dia", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _listed(c: str):
+    """A list of a group's objects as JSON; a list of one is the thing itself."""
+    all_ = F.array_sort(F.collect_list(c))
+    return F.when(F.size(all_) == 1, all_[0]).otherwise(F.concat(F.lit("["), F.array_join(all_, ","), F.lit("]")))
+
+
 def _summaries(spark, root) -> DataFrame:
     """A JSON summary for each day: sections by source, departments by issuing body, items straight or under a heading; a list of one is the thing itself."""
     d = _docs(spark, root).filter("published_on IS NOT NULL AND source IS NOT NULL AND emisor IS NOT NULL")
@@ -200,8 +206,8 @@ def _summaries(spark, root) -> DataFrame:
     part = F.when(F.col("deep"), F.concat(F.lit('"epigrafes":[{"nombre":"E","items":'), own, F.lit("}]"))).otherwise(F.concat(F.lit('"items":'), own))
     dep = items.withColumn("p", part).groupBy("published_on", "source", "emisor").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("p"))
     dep = dep.withColumn("p", F.concat(F.lit('{"nombre":'), F.to_json(F.array("emisor")), F.lit(","), "p", F.lit("}"))).withColumn("p", F.regexp_replace("p", r'"nombre":\["((?:[^"\\]|\\.)*)"\]', '"nombre":"$1"'))
-    sec = dep.groupBy("published_on", "source").agg(F.concat(F.lit('{"codigo":"'), F.first("source"), F.lit('","departamentos":['), F.array_join(F.array_sort(F.collect_list("p")), ","), F.lit("]}")).alias("s"))
-    return sec.groupBy("published_on").agg(F.concat(F.lit('{"dia":"'), F.first("published_on").cast("string"), F.lit('","secciones":['), F.array_join(F.array_sort(F.collect_list("s")), ","), F.lit("]}")).alias("json"))
+    sec = dep.groupBy("published_on", "source").agg(F.concat(F.lit('{"codigo":"'), F.first("source"), F.lit('","departamentos":'), _listed("p"), F.lit("}")).alias("s"))
+    return sec.groupBy("published_on").agg(F.concat(F.lit('{"dia":"'), F.first("published_on").cast("string"), F.lit('","secciones":'), _listed("s"), F.lit("}")).alias("json"))
 
 
 def summary_items(spark: SparkSession, root: str) -> DataFrame:

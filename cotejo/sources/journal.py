@@ -11,9 +11,12 @@ import json
 import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.sources.summaries import addresses
+
 # Why an extraction may have failed.
 FAILURES = ("timeout", "out_of_memory", "unsupported_format", "corrupt_pdf", "encrypted_pdf", "no_text_layer", "provider_error", "policy_blocked")
 _TABLE = (
@@ -102,14 +105,35 @@ ITEM = "struct<identificador:string,titulo:string,url_pdf:string,url_xml:string,
 SUMMARY = f"dia date, secciones array<struct<codigo:string,departamentos:array<struct<nombre:string,epigrafes:array<struct<nombre:string,items:array<{ITEM}>>>,items:array<{ITEM}>>>>>"
 
 
-def listed(json_text: Column, key: str) -> Column:
-    """A day's summary with every `key` that holds one object instead of a list made a list; nested objects of other keys stay."""
-    return F.regexp_replace(json_text, rf'"{key}"\s*:\s*(\{{[^{{}}]*\}})', rf'"{key}":[$1]')
+#: Levels of a summary, each a list that is written as its one element where it has only one.
+LEVELS = ("secciones", "departamentos", "epigrafes", "items")
+
+
+def _as_lists(node: object, keys: tuple[str, ...]) -> object:
+    if isinstance(node, dict):
+        return {k: [_as_lists(v, keys)] if k in keys and isinstance(v, dict) else _as_lists(v, keys) for k, v in node.items()}
+    return [_as_lists(v, keys) for v in node] if isinstance(node, list) else node
+
+
+def listed(json_text: Column, keys: tuple[str, ...] = LEVELS) -> Column:
+    """A day's summary as JSON in which each of `keys` that holds one object instead of a list holds a list, at every level; null for a text that is no JSON."""
+
+    @F.pandas_udf("string")
+    def lists(values: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(_as_lists(json.loads(text), keys), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return values.map(one, na_action="ignore")
+
+    return lists(json_text)
 
 
 def summary_items(days: DataFrame, text: str) -> DataFrame:
     """dia, seccion, departamento, epigrafe (null outside one), identificador, titulo, url_pdf, url_xml, paginas of a column of summaries as JSON."""
-    d = days.select(F.from_json(listed(F.col(text), "items"), SUMMARY).alias("s")).select("s.dia", F.explode("s.secciones").alias("x"))
+    d = days.select(F.from_json(listed(F.col(text)), SUMMARY).alias("s")).select("s.dia", F.explode("s.secciones").alias("x"))
     d = d.select("dia", F.col("x.codigo").alias("seccion"), F.explode("x.departamentos").alias("y"))
     flat = d.select("dia", "seccion", F.col("y.nombre").alias("departamento"), F.lit(None).cast("string").alias("epigrafe"), F.explode("y.items").alias("i"))
     deep = d.select("dia", "seccion", F.col("y.nombre").alias("departamento"), F.explode("y.epigrafes").alias("e"))
@@ -118,8 +142,19 @@ def summary_items(days: DataFrame, text: str) -> DataFrame:
 
 
 def urls(json_text: Column) -> Column:
-    """The addresses under keys url_..., at any depth, in order."""
-    return F.regexp_extract_all(json_text, F.lit(r'"url_\w+"\s*:\s*"([^"]*)"'), F.lit(1))
+    """The addresses under keys url_..., at any depth, in order, as the JSON means them (escapes decoded); none in a null or a text that is no JSON."""
+
+    @F.pandas_udf("array<string>")
+    def found(values: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            try:
+                return [] if text is None else list(addresses(json.loads(text)))
+            except ValueError:
+                return []
+
+        return pd.Series([one(None if t is None else t) for t in values], dtype=object)
+
+    return found(json_text)
 
 
 def discovered(items: DataFrame, sections: list[str], summary_prefix: str) -> DataFrame:

@@ -131,3 +131,12 @@ def test_work_dir_and_cut(spark):
     again = cut(df)
     assert [tuple(r) for r in again.collect()] == [(1, None)] and again.schema.simpleString() == df.schema.simpleString()
     assert work_dir(spark) == work_dir(spark) and work_dir(spark).removeprefix("file://") in again.inputFiles()[0]
+
+
+def test_summary_collapsed_at_every_level(spark):
+    item = {"identificador": "A-1", "titulo": "t {x}", "url_pdf": "https://a.example/á?b=\"c\"", "extra": {"k": {"n": 1}}}
+    day = {"dia": "2031-01-02", "secciones": {"codigo": "1", "departamentos": {"nombre": "D", "epigrafes": {"nombre": "E", "items": item}}}}
+    df = spark.createDataFrame([(json.dumps(day),), ("{torn",), (None,), ("{}",)], "j string")
+    assert [(r.identificador, r.seccion, r.departamento, r.epigrafe) for r in J.summary_items(df, "j").collect()] == [("A-1", "1", "D", "E")]
+    assert [r[0] for r in df.select(J.urls(F.col("j"))).collect()] == [['https://a.example/á?b="c"'], [], [], []]
+    assert J.summary_items(df.limit(0), "j").collect() == []
