@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,3 +172,77 @@ def compare_grids(left: DataFrame, right: DataFrame, keys: Sequence[str], fields
         text = text | ~F.col(f"_l{f}").eqNullSafe(F.col(f"_r{f}"))
     kind = F.when(state(F.col("_la")) != state(F.col("_ra")), "ESTADO").when(F.col("_la") & text, "TEXTO")
     return a.join(b, on, "full_outer").select(*on, kind.alias("kind")).filter("kind IS NOT NULL")
+
+
+def _covered(tables: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """Of a column of tables: number of the table, r, c, whether it is the cell's anchor, and number among all cells, of each position that a cell covers, as positions() has them."""
+    cells = tables.field("cells")
+    number = np.repeat(np.arange(len(tables)), pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))
+    cells = cells.flatten()
+    of = lambda a, name: pc.fill_null(a.field(name), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, m = of(tables, "n_rows"), of(tables, "n_cols")
+    fit = (n > 0) & (m > 0) & (n <= AREA // np.maximum(m, 1))
+    row, col = of(cells, "row"), of(cells, "col")
+    top, left = np.maximum(row, 0), np.maximum(col, 0)
+    high = np.maximum(np.minimum(row + of(cells, "rowspan"), n[number]) - top, 0)
+    wide = np.maximum(np.minimum(col + of(cells, "colspan"), m[number]) - left, 0)
+    times = high * wide * fit[number]
+    cell = np.repeat(np.arange(len(number)), times)
+    step = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+    r, c = top[cell] + step // np.maximum(wide, 1)[cell], left[cell] + step % np.maximum(wide, 1)[cell]
+    return number[cell], r, c, (row[cell] == r) & (col[cell] == c), cell
+
+
+def differences(left: pa.StructArray, right: pa.StructArray, fields: Sequence[str]) -> pa.ListArray:
+    """Of two columns of tables, none null: for each pair the r, c and kind (see compare_grids) of the positions on which they differ. Where cells overlap, the last one is on the position."""
+    sides = [_covered(t) for t in (left, right)]
+    high, wide = (1 + max(int(s[k].max(initial=0)) for s in sides) for k in (1, 2))
+    known = []
+    for number, r, c, anchor, cell in sides:
+        key = (number * high + r) * wide + c
+        if not (key[1:] > key[:-1]).all():
+            order = np.lexsort((cell, key))
+            last = order[np.append(key[order][1:] != key[order][:-1], True)]
+            key, anchor, cell = key[last], anchor[last], cell[last]
+        known.append((key, anchor, cell))
+    (a, anchor_a, cell_a), (b, anchor_b, cell_b) = known
+    at = np.searchsorted(b, a)
+    met = at < len(b)
+    met[met] = b[at[met]] == a[met]
+    i, j = np.flatnonzero(met), at[met]
+    alone = np.ones(len(b), dtype=bool)
+    alone[j] = False
+    state = anchor_a[i] != anchor_b[j]
+    i_text, j_text = (x[~state & anchor_a[i]] for x in (i, j))
+    other = np.zeros(len(i_text), dtype=bool)
+    for f in fields:
+        x, y = (t.field("cells").flatten().field(f).take(pa.array(cell[k])) for t, cell, k in ((left, cell_a, i_text), (right, cell_b, j_text)))
+        unlike = pc.if_else(pc.and_(x.is_valid(), y.is_valid()), pc.fill_null(pc.not_equal(x, y), False), pc.xor(x.is_valid(), y.is_valid()))
+        other |= unlike.to_numpy(zero_copy_only=False)
+    text = a[i_text[other]]
+    keys = np.concatenate([a[~met], b[alone], a[i[state]], text])
+    kinds = np.repeat([0, 1], [len(keys) - len(text), len(text)])
+    order = np.argsort(keys)
+    keys, kinds = keys[order], kinds[order]
+    ends = np.searchsorted(keys, np.arange(len(left) + 1) * high * wide)
+    found = [pa.array(keys // wide % high, pa.int32()), pa.array(keys % wide, pa.int32()), pa.array(["ESTADO", "TEXTO"]).take(pa.array(kinds))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(found, ["r", "c", "kind"]))
+
+
+def compare_tables(pairs: DataFrame, left: str, right: str, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """`keys`, r, c, kind: a DIMENSION row, with r and c null, for each pair of tables of other numbers of rows or columns, and the positions on which their grids differ.
+
+    `left` and `right` are structs of n_rows, n_cols and cells. What compare_sizes and compare_grids find by joins of tables and of positions is found in the pair's own row
+    here, so no position is shuffled; alike tables are not gone through.
+    """
+    a, b = F.col(left), F.col(right)
+
+    @F.arrow_udf("array<struct<r:int,c:int,kind:string>>")
+    def unlike(x: pa.Array, y: pa.Array) -> pa.Array:
+        return differences(x, y, fields)
+
+    size = lambda t: F.struct(t["n_rows"], t["n_cols"])
+    nowhere = F.array(F.struct(F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("c"), F.lit("DIMENSION").alias("kind")))
+    other = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b)).withColumn("_found", unlike(a, b))
+    every = F.when(size(a).eqNullSafe(size(b)), F.col("_found")).otherwise(F.concat("_found", nowhere))
+    return other.select(*keys, F.inline(every))
