@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from cotejo.functions.layout import FORMATS, WITH_SPANS
 
@@ -235,14 +236,20 @@ def compare_tables(pairs: DataFrame, left: str, right: str, keys: Sequence[str],
     `left` and `right` are structs of n_rows, n_cols and cells. What compare_sizes and compare_grids find by joins of tables and of positions is found in the pair's own row
     here, so no position is shuffled; alike tables are not gone through.
     """
-    a, b = F.col(left), F.col(right)
-
-    @F.arrow_udf("array<struct<r:int,c:int,kind:string>>")
-    def unlike(x: pa.Array, y: pa.Array) -> pa.Array:
-        return differences(x, y, fields)
-
-    size = lambda t: F.struct(t["n_rows"], t["n_cols"])
-    nowhere = F.array(F.struct(F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("c"), F.lit("DIMENSION").alias("kind")))
-    other = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b)).withColumn("_found", unlike(a, b))
-    every = F.when(size(a).eqNullSafe(size(b)), F.col("_found")).otherwise(F.concat("_found", nowhere))
-    return other.select(*keys, F.inline(every))
+    keys, alike = list(keys), F.col(left) == F.col(right)
+    other = pairs.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & ~alike).select(*keys, left, right)
+
+    # Not a UDF: rows that wait for a UDF's result are kept beside it, on disk where memory is short.
+    def unlike(batches):
+        for batch in batches:
+            x, y = batch.column(left), batch.column(right)
+            found = differences(x, y, fields)
+            sizes = [pc.struct_field(t, n).fill_null(-1).to_numpy(zero_copy_only=False) for t in (x, y) for n in ("n_rows", "n_cols")]
+            sized = np.flatnonzero((sizes[0] != sizes[2]) | (sizes[1] != sizes[3]))
+            at = pa.array(np.concatenate([np.repeat(np.arange(len(x)), found.value_lengths().to_numpy()), sized]))
+            where = [pa.concat_arrays([found.flatten().field(n), pa.nulls(len(sized), pa.int32())]) for n in ("r", "c")]
+            kind = pa.concat_arrays([found.flatten().field("kind"), pa.array(["DIMENSION"] * len(sized), pa.string())])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], *where, kind], names=[*keys, "r", "c", "kind"])
+
+    place = StructType([StructField("r", IntegerType()), StructField("c", IntegerType()), StructField("kind", StringType())])
+    return other.mapInArrow(unlike, StructType([*other.select(*keys).schema.fields, *place.fields]))
